@@ -52,6 +52,8 @@ def _classes() -> np.ndarray:
 _CLASS = _classes()
 _SIDE = int(_CLASS.max()) + 1
 LAYOUT = 4
+#: Weight of a layout term against a bigram, of which a text has hundreds.
+LAYOUT_WEIGHT = 5
 TERMS = _SIDE * _SIDE + LAYOUT
 _LETTER = (np.arange(256) >= 0x80) | np.isin(np.arange(256), np.frombuffer(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", np.uint8))
 
@@ -84,7 +86,9 @@ def terms(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     shout = upper[words.end] - upper[words.start] >= 2
     for i, flag in enumerate((same, again, bare, shout)):
         out[:, width + i] = np.bincount(word_doc[flag], minlength=n) * 1000.0 / n_words
-    return np.log1p(out)
+    out = np.log1p(out)
+    out[:, width:] *= LAYOUT_WEIGHT
+    return out
 
 
 @dataclass

@@ -76,8 +76,9 @@ class Limits:
     repeat_percent: int = 50  # base rule
     judged_words: int = 50  # minimum length of the distance rules
     judged_chars: int = 200
-    char_distance: float = 0.30
-    word_distance: float = 0.75
+    char_distance: float = 0.28  # limits for a long document ...
+    word_distance: float = 0.65
+    slack: float = 0.8  # ... and what the root of the characters takes off it: short texts vary more
 
 
 def _vocabulary() -> tuple[np.ndarray, np.ndarray]:
@@ -200,7 +201,8 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang", limits: Limit
                 chars = js_distance(counts[:, :N_CLASSES], own[:, :N_CLASSES])
                 common = js_distance(counts[:, N_CLASSES:], own[:, N_CLASSES:])
                 judged = (n >= limits.judged_words) & (found["word_chars"] >= limits.judged_chars)
-                far = judged & ((chars > limits.char_distance) | (common > limits.word_distance))
+                slack = limits.slack / np.sqrt(np.maximum(found["word_chars"], 1))
+                far = judged & ((chars > limits.char_distance + slack) | (common > limits.word_distance + slack))
                 yield blocks.appended(
                     batch.slice(lo, hi - lo),
                     **{k: pa.array(v, pa.int64()) for k, v in found.items()},
