@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import as_text
-from .unigram import REMEMBERED, Vocabulary, count_unit, units
+from .unigram import REMEMBERED, Vocabulary, count_unit, normalise, units
 
 
 class Counter:
@@ -24,7 +24,7 @@ class Counter:
         self.vocabulary, self.known = vocabulary, {}
 
     def count(self, text: str | None) -> int:
-        own = units(text or "")
+        own = units(normalise(text or ""), self.vocabulary)
         try:
             return sum(map(self.known.__getitem__, own))
         except KeyError:

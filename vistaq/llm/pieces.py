@@ -53,7 +53,7 @@ class Encoder:
     def ids(self, text: str | None) -> bytes:
         """Ids of a whole text as little-endian 32-bit numbers."""
         known, out = self.known, []
-        for unit in units(text or ""):
+        for unit in units(normalise(text or ""), self.vocabulary):
             found = known.get(unit)
             out.append(found[1] if found is not None else self.unit(unit)[1])
         return b"".join(out)
@@ -79,7 +79,7 @@ class Chunk:
         self.first = _sync(body)
         self.last = _sync(body, backward=True)
         self.tail_text = body[self.last or 0 :] + behind[: self.states - 1]
-        self.middle = units(body[self.first : self.last].replace(MARK, " ")[1:]) if self.first is not None and self.last > self.first else []
+        self.middle = units(body[self.first : self.last], self.vocabulary) if self.first is not None and self.last > self.first else []
 
     def _entries(self, scores: np.ndarray) -> dict[int, int]:
         return {d: int(s) for d, s in enumerate(scores.tolist()) if s > NONE // 2}
@@ -160,7 +160,7 @@ def entry_scores(matrices: list[np.ndarray]) -> list[np.ndarray]:
 
 def encode_giant(text: str, encoder: Encoder, size: int) -> bytes:
     """All steps for one text in one place; the plan below deals the same steps to tasks."""
-    chunks = [Chunk(*x, encoder) for x in cuts(normalise(text.replace(MARK, " ")), size)]
+    chunks = [Chunk(*x, encoder) for x in cuts(normalise(text), size)]
     scores = entry_scores([c.matrix() for c in chunks])
     exits = exit_states([c.entry_of_exit(s) for c, s in zip(chunks, scores, strict=True)])
     return b"".join(c.ids(s, e) for c, s, e in zip(chunks, scores, exits, strict=True))
@@ -221,7 +221,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, keep: list[str], text: str =
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, value in zip(batch.column("__row").to_pylist(), batch.column(text), strict=True):
-                parts = cuts(normalise(value.as_py().replace(MARK, " ")), giant)
+                parts = cuts(normalise(value.as_py()), giant)
                 for lo in range(0, len(parts), 64):
                     some = parts[lo : lo + 64]
                     yield pa.RecordBatch.from_arrays(

@@ -8,7 +8,8 @@ scores the piece that starts first, the longer one, wins.
 
 Text is normalised as the file says: a space is put in front, spaces become
 U+2581, nothing else changes.  No piece holds that mark behind another
-character, so a run of marks with what follows, a unit, is segmented on its own.
+character, or a line end, so a run of marks with what follows up to the next
+mark or line end, a unit, is segmented on its own.
 An unknown character costs the least score less ten and becomes its UTF-8 bytes.
 """
 
@@ -23,8 +24,7 @@ MARK = "▁"
 SCALE = 64
 UNKNOWN_PENALTY = 10 * SCALE
 #: Units whose segmentation a worker remembers.
-REMEMBERED = 150_000
-_UNIT = re.compile(rf"{MARK}*[^{MARK}]+|{MARK}+")
+REMEMBERED = 250_000
 
 
 @dataclass
@@ -66,18 +66,25 @@ class Vocabulary:
     def longest(self) -> int:
         return max(map(len, self.ids))
 
+    @cached_property
+    def unit_pattern(self) -> re.Pattern:
+        """Marks with what follows; a line end, which no piece holds, is a unit between two others."""
+        if any("\n" in p for p in self.ids):
+            return re.compile(rf"{MARK}*[^{MARK}]+|{MARK}+")
+        return re.compile(rf"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
+
     @cached_property
     def unknown(self) -> int:
         return min(s for s in self.scores if s is not None) - UNKNOWN_PENALTY
 
     @cached_property
     def automaton(self):
-        """Aho-Corasick over all pieces; a match carries (length, score)."""
+        """Aho-Corasick over all pieces; a match carries (length, score, id)."""
         import ahocorasick
 
         found = ahocorasick.Automaton()
         for piece, i in self.ids.items():
-            found.add_word(piece, (len(piece), self.scores[i]))
+            found.add_word(piece, (len(piece), self.scores[i], i))
         found.make_automaton()
         return found
 
@@ -94,60 +101,80 @@ class Vocabulary:
 
 
 def normalise(text: str) -> str:
+    """Spaces as marks, and one more mark in front."""
     return MARK + text.replace(" ", MARK) if text else ""
 
 
-def units(text: str) -> list[str]:
-    """The units of a raw text, each without its first mark."""
-    if MARK in text:
-        text = text.replace(MARK, " ")
-    if "  " in text or text[:1] == " " or text[-1:] == " ":
-        return [u[1:] for u in _UNIT.findall(normalise(text))]
-    return text.split(" ") if text else []
+def units(text: str, vocabulary: Vocabulary) -> list[str]:
+    """The units of a normalised text."""
+    return vocabulary.unit_pattern.findall(text)
 
 
-def count_unit(unit: str, vocabulary: Vocabulary) -> int:
-    """Pieces of a unit: best score and piece count carried along, matches from the automaton.
+def _whole(text: str, vocabulary: Vocabulary) -> tuple[list, list, list]:
+    """Best scores, starts and ids at the ends of pieces, over all of ``text``; id -1 is an unknown character.
 
     The automaton reports the matches at each end from the longest to the
     shortest, the order of the tie rule.
     """
-    text = MARK + unit
     n = len(text)
     best: list[int | None] = [None] * (n + 1)
-    count = [0] * (n + 1)
+    start_of, id_of = [0] * (n + 1), [-1] * (n + 1)
     best[0] = 0
-    at = 0
-    single = False
-
-    def close(end: int) -> None:
-        """An unknown character, if no piece of one character ends here."""
+    at, single = 1, False  # the end that is being filled
+    unknown = vocabulary.unknown
+    for last, (length, score, piece) in vocabulary.automaton.iter(text):
+        while at <= last:
+            if not single:  # an unknown character, if no piece of one character ends here
+                own = best[at - 1] + unknown
+                if best[at] is None or own > best[at]:
+                    best[at], start_of[at], id_of[at] = own, at - 1, -1
+            at, single = at + 1, False
+        start = at - length
+        if length == 1:
+            single = True
+        score += best[start]
+        own = best[at]
+        if own is None or score > own:
+            best[at], start_of[at], id_of[at] = score, start, piece
+    while at <= n:
         if not single:
-            score = best[end - 1] + vocabulary.unknown
-            if best[end] is None or score > best[end]:
-                best[end], count[end] = score, count[end - 1] + len(text[end - 1].encode("utf-8", "surrogatepass"))
-
-    for last, (length, score) in vocabulary.automaton.iter(text):
-        end = last + 1
-        while at < end - 1:  # ends without a match
-            if at:
-                close(at)
+            own = best[at - 1] + unknown
+            if best[at] is None or own > best[at]:
+                best[at], start_of[at], id_of[at] = own, at - 1, -1
+        at, single = at + 1, False
+    return best, start_of, id_of
+
+
+def count_unit(text: str, vocabulary: Vocabulary) -> int:
+    """Pieces of a unit: best score and piece count are carried along, no piece is kept."""
+    n = len(text)
+    best: list[int | None] = [None] * (n + 1)
+    count = [0] * (n + 1)
+    best[0] = 0
+    at, single = 1, False
+    unknown = vocabulary.unknown
+
+    def close() -> None:
+        own = best[at - 1] + unknown
+        if best[at] is None or own > best[at]:
+            best[at], count[at] = own, count[at - 1] + len(text[at - 1].encode("utf-8", "surrogatepass"))
+
+    for last, (length, score, _) in vocabulary.automaton.iter(text):
+        while at <= last:
+            if not single:
+                close()
             at, single = at + 1, False
-        if at < end:
-            if at:
-                close(at)
-            at, single = end, False
-        start = end - length
+        start = at - length
         if length == 1:
             single = True
         score += best[start]
-        if best[end] is None or score > best[end]:
-            best[end], count[end] = score, count[start] + 1
-    while at < n:
-        if at:
-            close(at)
+        own = best[at]
+        if own is None or score > own:
+            best[at], count[at] = score, count[start] + 1
+    while at <= n:
+        if not single:
+            close()
         at, single = at + 1, False
-    close(n)
     return count[n]
 
 
@@ -196,11 +223,19 @@ def trace(text: str, end: int, back: list, vocabulary: Vocabulary) -> tuple[int,
     return end, out[::-1]
 
 
-def segment_unit(unit: str, vocabulary: Vocabulary) -> tuple[int, list[int]]:
+def segment_unit(text: str, vocabulary: Vocabulary) -> tuple[int, list[int]]:
     """Score and ids of a unit."""
-    text = MARK + unit
-    best, back = forward(text, len(text), {0: 0}, vocabulary)
-    return best[len(text)], trace(text, len(text), back, vocabulary)[1]
+    best, start_of, id_of = _whole(text, vocabulary)
+    out: list[int] = []
+    end = len(text)
+    while end:
+        start, piece = start_of[end], id_of[end]
+        if piece < 0:
+            out += [vocabulary.byte_ids[b] for b in reversed(text[start:end].encode("utf-8", "surrogatepass"))]
+        else:
+            out.append(piece)
+        end = start
+    return best[len(text)], out[::-1]
 
 
 def decode(ids: list[int], vocabulary: Vocabulary) -> str:
