@@ -21,7 +21,7 @@ from .unigram import REMEMBERED, Vocabulary, count_unit, normalise, units
 
 class Counter:
     def __init__(self, vocabulary: Vocabulary):
-        self.vocabulary, self.known = vocabulary, {}
+        self.vocabulary, self.known = vocabulary, vocabulary.remembered("counts")
 
     def count(self, text: str | None) -> int:
         own = units(normalise(text or ""), self.vocabulary)

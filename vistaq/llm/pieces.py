@@ -37,7 +37,7 @@ class Encoder:
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
-        self.known: dict[str, tuple[int, bytes]] = {}
+        self.known: dict[str, tuple[int, bytes]] = vocabulary.remembered("ids")
 
     def unit(self, unit: str) -> tuple[int, bytes]:
         found = self.known.get(unit)

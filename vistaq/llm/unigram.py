@@ -36,8 +36,12 @@ class Vocabulary:
     byte_ids: list[int]
     _memo: dict = field(default_factory=dict, repr=False)
 
-    def __getstate__(self):
-        return {"pieces": self.pieces, "scores": self.scores, "byte_ids": self.byte_ids, "_memo": {}}
+    def __reduce__(self):
+        return _in_process, (self.pieces, self.scores, self.byte_ids)
+
+    def remembered(self, kind: str) -> dict:
+        """What this process has segmented so far, kept over its tasks."""
+        return self._memo.setdefault(kind, {})
 
     @classmethod
     def load(cls, path: str) -> Vocabulary:
@@ -100,6 +104,16 @@ class Vocabulary:
         return out
 
 
+_held: list[Vocabulary] = []
+
+
+def _in_process(pieces: list[str], scores: list[int | None], byte_ids: list[int]) -> Vocabulary:
+    """The process's own copy of a vocabulary that arrives with a task, so that what it remembers lasts."""
+    if not _held or (_held[0].pieces, _held[0].scores) != (pieces, scores):
+        _held[:] = [Vocabulary(pieces, scores, byte_ids)]
+    return _held[0]
+
+
 def normalise(text: str) -> str:
     """Spaces as marks, and one more mark in front."""
     return MARK + text.replace(" ", MARK) if text else ""
