@@ -17,9 +17,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text handled by one round of NumPy calls (a longer document is a round of its own).
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 1_000_000
 #: Bytes hashed at once; bounds the table of powers.
-SEGMENT = 1 << 19
+SEGMENT = 1 << 18
 
 U = np.uint64
 _BASE = U(0x9E3779B97F4A7C15)

@@ -23,6 +23,18 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Bytes of a batch handed to a Python worker; texts of any length come in batches of about this size.
+BATCH_BYTES = 16 << 20
+
+
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """The same rows, in a session that hands batches of at most BATCH_BYTES to Python workers."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(df.sparkSession.conf.get(name).rstrip("b")) > BATCH_BYTES:
+        df.sparkSession.conf.set(name, f"{BATCH_BYTES}b")
+    return df
+
+
 def text_bytes(df: DataFrame) -> int:
     """The optimizer's size estimate of a table, for choosing numbers of partitions; never for dropping rows."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
@@ -40,4 +52,4 @@ def extended(schema: T.StructType, more: str) -> T.StructType:
 
 def as_text(df: DataFrame, key: str, text: str) -> DataFrame:
     """Just the key and the text, under the operators' own names: other columns can't clash."""
-    return df.select(df[key].alias("doc_id"), df[text].cast("string").alias("text"))
+    return in_small_batches(df).select(df[key].alias("doc_id"), df[text].cast("string").alias("text"))

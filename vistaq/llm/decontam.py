@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks
-from .common import extended
+from .common import extended, in_small_batches
 
 #: Words in a window.
 WIDTH = 13
@@ -231,7 +231,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
     if words are hit and at least one in ``share`` of all.
     """
     names = [x.split()[0] for x in FIELDS.split(", ")]
-    docs = docs.drop(*[x for x in names if x in docs.columns])
+    docs = in_small_batches(docs).drop(*[x for x in names if x in docs.columns])
     plain = docs.schema
     parts = list(bench_blocks(benchmark, item, item_text, block_chars))
     for k, (items, texts) in enumerate(parts):

@@ -25,7 +25,7 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import extended
+from .common import extended, in_small_batches
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*'|["'])*?)(?:>|\Z)""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
@@ -236,7 +236,7 @@ def main_text(html: str | None) -> str:
 
 def extract(pages: DataFrame, keep: list[str], html: str = "html") -> DataFrame:
     """The columns ``keep``, then text and n_chars (code points)."""
-    source = pages.select(*dict.fromkeys([*keep, html]))
+    source = in_small_batches(pages).select(*dict.fromkeys([*keep, html]))
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -39,7 +39,7 @@ BANDS, ROWS = 32, 4
 #: Shingle hashes in an odd sketch, and its bits.
 SAMPLE, BITS = 1024, 2048
 #: Members of a bucket that are compared in one piece.
-TILE = 768
+TILE = 512
 
 _HASHES = blocks.mix64(np.arange(1, BANDS * ROWS + 1, dtype=blocks.U) * blocks.U(0x9E3779B97F4A7C15))
 
@@ -169,10 +169,14 @@ def compare_piece(ids: np.ndarray, comp: np.ndarray, sizes: np.ndarray, sketch:
     if not forest:
         return sorted(set(zip(low.tolist(), high.tolist(), strict=True)))
     out, trees = [], _Forest(len(ids))
-    _, group = np.unique(comp, return_inverse=True)
-    for k in np.lexsort((high, low, -estimate)).tolist():
-        if trees.join(int(group[x[k]]), int(group[y[k]])):
-            out.append((int(low[k]), int(high[k])))
+    groups, group = np.unique(comp, return_inverse=True)
+    order = np.lexsort((high, low, -estimate))
+    for at in range(0, len(order), 4096):
+        for k in order[at : at + 4096].tolist():
+            if trees.join(int(group[x[k]]), int(group[y[k]])):
+                out.append((int(low[k]), int(high[k])))
+        if len(out) == len(groups) - 1:
+            break
     return out
 
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, extended
+from .common import durable, extended, in_small_batches
 from .unigram import MARK, REMEMBERED, Vocabulary, decode, forward, normalise, segment_unit, trace, units
 
 #: Characters of a chunk; longer documents are giants.
@@ -199,7 +199,7 @@ def _encoders(vocabulary: Vocabulary):
 
 def encode(docs: DataFrame, vocabulary: Vocabulary, keep: list[str], text: str = "text", giant: int = GIANT) -> DataFrame:
     """The columns ``keep``, then ids (little-endian 32-bit numbers) and same: whether decoding gives the text again."""
-    source = docs.select(*dict.fromkeys([*keep, text]))
+    source = in_small_batches(docs).select(*dict.fromkeys([*keep, text]))
     shape = extended(source.select(*keep).schema, "ids binary, same boolean")
     small = source.where(F.col(text).isNull() | (F.length(F.col(text).cast("string")) <= giant))
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks
-from .common import extended
+from .common import extended, in_small_batches
 
 # The most frequent function words of each language.
 COMMON_WORDS = {
@@ -186,7 +186,7 @@ FIELDS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_rep
 def judge(docs: DataFrame, text: str = "text", lang: str = "lang", limits: Limits = Limits(), reference: np.ndarray | None = None) -> DataFrame:
     """All columns of ``docs`` followed by those of FIELDS (earlier columns of the same names are replaced)."""
     names = [x.split()[0] for x in FIELDS.split(", ")]
-    docs = docs.drop(*[x for x in names if x in docs.columns])
+    docs = in_small_batches(docs).drop(*[x for x in names if x in docs.columns])
     ref = references(docs, text, lang) if reference is None else reference
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

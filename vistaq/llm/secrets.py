@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, extended
+from .common import durable, extended, in_small_batches
 
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -110,7 +110,7 @@ def scan(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(base, _ARROW), pa.array(more, _ARROW)], names=[*keep, "base", "candidates"])
 
     columns = list(dict.fromkeys([*keep, text]))
-    return docs.select(*columns).mapInArrow(rows, extended(docs.select(*keep).schema, FIELDS))
+    return in_small_batches(docs).select(*columns).mapInArrow(rows, extended(docs.select(*keep).schema, FIELDS))
 
 
 def ownership(found: DataFrame, owner: str, repository: str) -> DataFrame:

@@ -24,7 +24,7 @@ MARK = "▁"
 SCALE = 64
 UNKNOWN_PENALTY = 10 * SCALE
 #: Units whose segmentation a worker remembers.
-REMEMBERED = 250_000
+REMEMBERED = 120_000
 
 
 @dataclass
