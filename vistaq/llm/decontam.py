@@ -11,8 +11,8 @@ array.  The benchmark is sent to the tasks in blocks of bounded size, one pass
 for each block.
 
 Edge cases: null and empty texts have no words and no hits; items without words
-have no window; items of fewer words than ``width`` are one window; repeated
-items each count; repeated documents are judged one by one; an empty benchmark
+have no window; items of fewer words than ``width`` are one window; rows of
+one item_id are one item; repeated documents are judged one by one; an empty benchmark
 leaves every document clean.
 """
 
@@ -271,7 +271,7 @@ def _final(words: blocks.Words, hit: np.ndarray, names: list[list[str]], share:
     for a, b, k in zip(words.first[:-1].tolist(), words.first[1:].tolist(), n_hit.tolist(), strict=True):
         edge = np.flatnonzero(np.diff(np.concatenate([[0], hit[a:b].astype(np.int8), [0]]))) if k else np.zeros(0, np.int64)
         spans.append([{"start": s, "end": e} for s, e in edge.reshape(-1, 2).tolist()])
-    names = [sorted(x) for x in names]
+    names = [sorted(set(x)) for x in names]
     return {
         "n_words": pa.array(n, pa.int64()),
         "n_hit": pa.array(n_hit, pa.int64()),
