@@ -27,7 +27,7 @@ from .common import as_text, text_bytes
 
 WIDTH = 35
 #: Estimated bytes of stored text in a block, and in a range of hashes.
-BLOCK_BYTES = 4_000_000
+BLOCK_BYTES = 3_000_000
 RANGE_BYTES = 12_000_000
 
 
