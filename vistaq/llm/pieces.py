@@ -16,7 +16,7 @@ empty table gives an empty result.
 
 from __future__ import annotations
 
-import hashlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -43,7 +43,7 @@ class Encoder:
         found = self.known.get(unit)
         if found is None:
             score, ids = segment_unit(unit, self.vocabulary)
-            found = score, np.array(ids, np.int32).tobytes()
+            found = score, array("i", ids).tobytes()
             if len(unit) < 64:
                 if len(self.known) > REMEMBERED:
                     self.known.clear()

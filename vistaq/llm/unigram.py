@@ -8,8 +8,9 @@ scores the piece that starts first, the longer one, wins.
 
 Text is normalised as the file says: a space is put in front, spaces become
 U+2581, nothing else changes.  No piece holds that mark behind another
-character, or a line end, so a run of marks with what follows up to the next
-mark or line end, a unit, is segmented on its own.
+character, so a run of marks with what follows up to the next mark, a unit, is
+segmented on its own; where no piece mixes letters with other characters, units
+end there too.
 An unknown character costs the least score less ten and becomes its UTF-8 bytes.
 """
 
@@ -72,10 +73,16 @@ class Vocabulary:
 
     @cached_property
     def unit_pattern(self) -> re.Pattern:
-        """Marks with what follows; a line end, which no piece holds, is a unit between two others."""
-        if any("\n" in p for p in self.ids):
-            return re.compile(rf"{MARK}*[^{MARK}]+|{MARK}+")
-        return re.compile(rf"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
+        """Marks with the letters, or the other characters, behind them; a line end by itself.
+
+        It holds if no piece would be cut by it.  Whether a place is a cut
+        depends on the two characters around it alone, so then no piece crosses
+        a cut in any text.  Else a unit ends at the next mark only.
+        """
+        fine = re.compile(rf"{MARK}*(?:[^\W\d_]+|(?:[\d_]|[^\w{MARK}\n])+)|{MARK}+|\n")
+        if all(fine.findall(p) == [p] for p in self.ids):
+            return fine
+        return re.compile(rf"{MARK}*[^{MARK}]+|{MARK}+")
 
     @cached_property
     def unknown(self) -> int:
