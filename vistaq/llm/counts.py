@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import as_text
-from .unigram import REMEMBERED, Vocabulary, count_unit, normalise, units
+from .unigram import Vocabulary, count_unit, normalise, units
 
 
 class Counter:
@@ -24,21 +24,11 @@ class Counter:
         self.vocabulary, self.known = vocabulary, vocabulary.remembered("counts")
 
     def count(self, text: str | None) -> int:
-        own = units(normalise(text or ""), self.vocabulary)
-        try:
-            return sum(map(self.known.__getitem__, own))
-        except KeyError:
-            if len(self.known) > REMEMBERED:
-                self.known.clear()
-        total = 0
-        for unit in own:
-            n = self.known.get(unit)
-            if n is None:
-                n = count_unit(unit, self.vocabulary)
-                if len(unit) < 64:
-                    self.known[unit] = n
-            total += n
-        return total
+        get, make = self.known.get, self._make
+        return sum([get(unit, make) for unit in units(normalise(text or ""), self.vocabulary)])
+
+    def _make(self, unit: str) -> int:
+        return count_unit(unit, self.vocabulary)
 
 
 def count_tokens(docs: DataFrame, vocabulary: Vocabulary, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import durable, extended, in_small_batches
-from .unigram import MARK, REMEMBERED, Vocabulary, decode, forward, normalise, segment_unit, trace, units
+from .unigram import MARK, Vocabulary, decode, forward, normalise, segment_unit, trace, units
 
 #: Characters of a chunk; longer documents are giants.
 GIANT = 32_768
@@ -37,25 +37,25 @@ class Encoder:
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
-        self.known: dict[str, tuple[int, bytes]] = vocabulary.remembered("ids")
+        self.known = vocabulary.remembered("ids")
+
+    def _make(self, unit: str) -> tuple[int, bytes]:
+        score, ids = segment_unit(unit, self.vocabulary)
+        return score, array("i", ids).tobytes()
 
     def unit(self, unit: str) -> tuple[int, bytes]:
-        found = self.known.get(unit)
-        if found is None:
-            score, ids = segment_unit(unit, self.vocabulary)
-            found = score, array("i", ids).tobytes()
-            if len(unit) < 64:
-                if len(self.known) > REMEMBERED:
-                    self.known.clear()
-                self.known[unit] = found
-        return found
+        """Score and ids of a unit."""
+        return self.known.get(unit, self._make)
 
     def ids(self, text: str | None) -> bytes:
         """Ids of a whole text as little-endian 32-bit numbers."""
-        known, out = self.known, []
+        young, out = self.known.young, []
         for unit in units(normalise(text or ""), self.vocabulary):
-            found = known.get(unit)
-            out.append(found[1] if found is not None else self.unit(unit)[1])
+            found = young.get(unit)
+            if found is None:
+                found = self.unit(unit)
+                young = self.known.young
+            out.append(found[1])
         return b"".join(out)
 
 

@@ -18,14 +18,15 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import cached_property
 
 MARK = "▁"
 SCALE = 64
 UNKNOWN_PENALTY = 10 * SCALE
-#: Units whose segmentation a worker remembers.
-REMEMBERED = 120_000
+#: Units in a generation of those whose segmentation a worker remembers; it keeps two.
+REMEMBERED = 110_000
 
 
 @dataclass
@@ -40,9 +41,9 @@ class Vocabulary:
     def __reduce__(self):
         return _in_process, (self.pieces, self.scores, self.byte_ids)
 
-    def remembered(self, kind: str) -> dict:
+    def remembered(self, kind: str) -> Remembered:
         """What this process has segmented so far, kept over its tasks."""
-        return self._memo.setdefault(kind, {})
+        return self._memo.setdefault(kind, Remembered())
 
     @classmethod
     def load(cls, path: str) -> Vocabulary:
@@ -79,7 +80,8 @@ class Vocabulary:
         depends on the two characters around it alone, so then no piece crosses
         a cut in any text.  Else a unit ends at the next mark only.
         """
-        fine = re.compile(rf"{MARK}*(?:[^\W\d_]+|(?:[\d_]|[^\w{MARK}\n])+)|{MARK}+|\n")
+        numeric = re.escape("".join(sorted({c for p in self.ids for c in p if c.isalnum() and not c.isalpha() and not c.isdecimal()})))
+        fine = re.compile(rf"{MARK}*(?:[^\W\d_{numeric}]+|(?:[\d_{numeric}]|[^\w{MARK}\n])+)|{MARK}+|\n")
         if all(fine.findall(p) == [p] for p in self.ids):
             return fine
         return re.compile(rf"{MARK}*[^{MARK}]+|{MARK}+")
@@ -121,6 +123,26 @@ def _in_process(pieces: list[str], scores: list[int | None], byte_ids: list[int]
     return _held[0]
 
 
+class Remembered:
+    """A bounded memory of two generations: what is asked for again moves to the young one, the old one is dropped when that is full."""
+
+    def __init__(self) -> None:
+        self.young: dict = {}
+        self.old: dict = {}
+
+    def get(self, unit: str, make: Callable):
+        found = self.young.get(unit)
+        if found is None:
+            found = self.old.get(unit)
+            if found is None:
+                found = make(unit)
+            if len(unit) < 64:
+                if len(self.young) >= REMEMBERED:
+                    self.old, self.young = self.young, {}
+                self.young[unit] = found
+        return found
+
+
 def normalise(text: str) -> str:
     """Spaces as marks, and one more mark in front."""
     return MARK + text.replace(" ", MARK) if text else ""
