@@ -290,7 +290,8 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
     reps = durable(reps)
 
     spread = reps.select("rep", F.explode("bands").alias("bucket"))
-    full = spread.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
+    # counts of buckets are written before they are joined: then a join has two plain exchanges, and a crowded bucket can be split
+    full = durable(spread.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1"))
     in_buckets = spread.join(full, "bucket")
     held = durable(in_buckets.join(reps.select("rep", "n_shingles", "sketch"), "rep"))
 
@@ -304,9 +305,9 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
 
     # round 2: what the forests may have missed, in buckets that hold several components
     known = held.join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-    split = known.groupBy("bucket").agg(F.min("comp").alias("main"), F.max("comp").alias("other")).where("main <> other").select("bucket", "main")
+    split = durable(known.groupBy("bucket").agg(F.min("comp").alias("main"), F.max("comp").alias("other")).where("main <> other").select("bucket", "main"))
     mixed = durable(known.join(split, "bucket"))
-    outside = mixed.where("comp <> main").groupBy("bucket").agg(F.count("*").alias("outsiders"))
+    outside = durable(mixed.where("comp <> main").groupBy("bucket").agg(F.count("*").alias("outsiders")))
     mixed = mixed.join(outside, "bucket")
     mixed = mixed.withColumn("tiles_x", F.ceil(F.col("outsiders") / TILE).cast("long")).withColumn("tiles_y", F.ceil(F.col("members") / TILE).cast("long"))
     columns = ["bucket", "tile_x", "tile_y", "rep", "comp", "n_shingles", "sketch"]
