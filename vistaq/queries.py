@@ -269,8 +269,9 @@ def threshold_registry(spark: SparkSession, sf: str) -> DataFrame:
 
 @_query("SELECT doc_id, length(text) - length(replace(text, 'e', '')) AS letter_e, round(sqrt(" + " + ".join(f"(length(text) - length(replace(text, '{chr(97 + i)}', ''))) ** 2" for i in range(26)) + "), 6) AS norm FROM documents")
 def encode_text(spark: SparkSession, sf: str) -> DataFrame:
-    counts = encoders.letter_vector(F.col("text"))
-    return _t(spark, sf, "documents").select("doc_id", F.element_at(counts, 5).cast("long").alias("letter_e"), F.round(F.sqrt(vectors.dot(counts, counts)), 6).alias("norm"))
+    counted = encoders.count_letters(_t(spark, sf, "documents").select("doc_id", "text"), "text")
+    counts = F.col("counts")
+    return counted.select("doc_id", F.element_at(counts, 5).alias("letter_e"), F.round(F.sqrt(vectors.dot(counts, counts)), 6).alias("norm"))
 
 
 # catalog against scan
