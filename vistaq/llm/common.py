@@ -29,9 +29,9 @@ BATCH_BYTES = 16 << 20
 
 def in_small_batches(df: DataFrame) -> DataFrame:
     """The same rows, in a session that hands batches of at most BATCH_BYTES to Python workers."""
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(df.sparkSession.conf.get(name).rstrip("b")) > BATCH_BYTES:
-        df.sparkSession.conf.set(name, f"{BATCH_BYTES}b")
+    name, session = "spark.sql.execution.arrow.maxBytesPerBatch", df.sparkSession
+    if session._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(session.conf.get(name)) > BATCH_BYTES:
+        session.conf.set(name, f"{BATCH_BYTES}b")
     return df
 
 
