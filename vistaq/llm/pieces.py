@@ -18,6 +18,7 @@ from __future__ import annotations
 
 from array import array
 from collections.abc import Iterable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -39,24 +40,24 @@ class Encoder:
         self.vocabulary = vocabulary
         self.known = vocabulary.remembered("ids")
 
-    def _make(self, unit: str) -> tuple[int, bytes]:
-        score, ids = segment_unit(unit, self.vocabulary)
-        return score, array("i", ids).tobytes()
+    def _make(self, unit: str) -> bytes:
+        return array("i", segment_unit(unit, self.vocabulary)[1]).tobytes()
 
-    def unit(self, unit: str) -> tuple[int, bytes]:
-        """Score and ids of a unit."""
+    def _unit(self, unit: str) -> bytes:
         return self.known.get(unit, self._make)
 
+    def of_units(self, found: list[str]) -> bytes:
+        """Ids of units one after the other, as little-endian 32-bit numbers."""
+        young, make = self.known.young.get, self._unit
+        return b"".join([young(unit) or make(unit) for unit in found])  # a unit has at least one id
+
     def ids(self, text: str | None) -> bytes:
-        """Ids of a whole text as little-endian 32-bit numbers."""
-        young, out = self.known.young, []
-        for unit in units(normalise(text or ""), self.vocabulary):
-            found = young.get(unit)
-            if found is None:
-                found = self.unit(unit)
-                young = self.known.young
-            out.append(found[1])
-        return b"".join(out)
+        """Ids of a whole text."""
+        return self.of_units(units(normalise(text or ""), self.vocabulary))
+
+    def score(self, ids: bytes) -> int:
+        """The score of a segmentation, from its ids alone."""
+        return int(self.vocabulary.id_scores[np.frombuffer(ids, np.int32)].sum())
 
 
 def cuts(text: str, size: int) -> list[tuple[str, str]]:
@@ -79,7 +80,11 @@ class Chunk:
         self.first = _sync(body)
         self.last = _sync(body, backward=True)
         self.tail_text = body[self.last or 0 :] + behind[: self.states - 1]
-        self.middle = units(body[self.first : self.last], self.vocabulary) if self.first is not None and self.last > self.first else []
+
+    @cached_property
+    def middle(self) -> bytes:
+        """Ids of the whole units between the head and the tail."""
+        return self.encoder.of_units(units(self.body[self.first : self.last], self.vocabulary)) if self.first is not None and self.last > self.first else b""
 
     def _entries(self, scores: np.ndarray) -> dict[int, int]:
         return {d: int(s) for d, s in enumerate(scores.tolist()) if s > NONE // 2}
@@ -101,7 +106,7 @@ class Chunk:
                 best, _, stop = self._tail({d: 0})
                 out[d] = self._exits(best, stop)
             return out
-        middle = sum(self.encoder.unit(u)[0] for u in self.middle)
+        middle = self.encoder.score(self.middle)
         best, _, stop = self._tail({0: 0})
         exits = self._exits(best, stop)
         for d in range(self.states):
@@ -131,7 +136,7 @@ class Chunk:
         head = {d: s for d, s in entries.items() if d <= self.first}
         _, back = forward(self.body[: self.first], self.first, head, self.vocabulary)
         out = [np.array(trace(self.body, self.first, back, self.vocabulary)[1], np.int32).tobytes()]
-        out += [self.encoder.unit(u)[1] for u in self.middle]
+        out.append(self.middle)
         _, back, stop = self._tail({0: 0})
         out.append(np.array(trace(self.tail_text, stop + exit_, back, self.vocabulary)[1], np.int32).tobytes())
         return b"".join(out)

@@ -22,11 +22,15 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import cached_property
 
+import numpy as np
+
 MARK = "▁"
 SCALE = 64
 UNKNOWN_PENALTY = 10 * SCALE
+#: Below every score of a text.
+UNREACHED = -(1 << 62)
 #: Units in a generation of those whose segmentation a worker remembers; it keeps two.
-REMEMBERED = 110_000
+REMEMBERED = 160_000
 
 
 @dataclass
@@ -90,6 +94,14 @@ class Vocabulary:
     def unknown(self) -> int:
         return min(s for s in self.scores if s is not None) - UNKNOWN_PENALTY
 
+    @cached_property
+    def id_scores(self) -> np.ndarray:
+        """What each id adds to the score of a text; of an unknown character's bytes the first one counts."""
+        out = np.array([s or 0 for s in self.scores], np.int64)
+        for b, i in enumerate(self.byte_ids):
+            out[i] = 0 if 0x80 <= b < 0xC0 else self.unknown
+        return out
+
     @cached_property
     def automaton(self):
         """Aho-Corasick over all pieces; a match carries (length, score, id)."""
@@ -153,39 +165,34 @@ def units(text: str, vocabulary: Vocabulary) -> list[str]:
     return vocabulary.unit_pattern.findall(text)
 
 
-def _whole(text: str, vocabulary: Vocabulary) -> tuple[list, list, list]:
-    """Best scores, starts and ids at the ends of pieces, over all of ``text``; id -1 is an unknown character.
+def _whole(text: str, vocabulary: Vocabulary) -> tuple[list, list]:
+    """Best scores, and the matches they come from, at the ends of pieces, over all of ``text``; None is an unknown character.
 
     The automaton reports the matches at each end from the longest to the
     shortest, the order of the tie rule.
     """
     n = len(text)
-    best: list[int | None] = [None] * (n + 1)
-    start_of, id_of = [0] * (n + 1), [-1] * (n + 1)
+    best: list[int] = [UNREACHED] * (n + 1)
+    via: list[tuple | None] = [None] * (n + 1)
     best[0] = 0
     at, single = 1, False  # the end that is being filled
     unknown = vocabulary.unknown
-    for last, (length, score, piece) in vocabulary.automaton.iter(text):
+    for last, match in vocabulary.automaton.iter(text):
         while at <= last:
-            if not single:  # an unknown character, if no piece of one character ends here
-                own = best[at - 1] + unknown
-                if best[at] is None or own > best[at]:
-                    best[at], start_of[at], id_of[at] = own, at - 1, -1
+            if not single and best[at - 1] + unknown > best[at]:  # an unknown character, if no piece of one character ends here
+                best[at], via[at] = best[at - 1] + unknown, None
             at, single = at + 1, False
-        start = at - length
+        length, score, _ = match
         if length == 1:
             single = True
-        score += best[start]
-        own = best[at]
-        if own is None or score > own:
-            best[at], start_of[at], id_of[at] = score, start, piece
+        score += best[at - length]
+        if score > best[at]:
+            best[at], via[at] = score, match
     while at <= n:
-        if not single:
-            own = best[at - 1] + unknown
-            if best[at] is None or own > best[at]:
-                best[at], start_of[at], id_of[at] = own, at - 1, -1
+        if not single and best[at - 1] + unknown > best[at]:
+            best[at], via[at] = best[at - 1] + unknown, None
         at, single = at + 1, False
-    return best, start_of, id_of
+    return best, via
 
 
 def count_unit(text: str, vocabulary: Vocabulary) -> int:
@@ -268,16 +275,17 @@ def trace(text: str, end: int, back: list, vocabulary: Vocabulary) -> tuple[int,
 
 def segment_unit(text: str, vocabulary: Vocabulary) -> tuple[int, list[int]]:
     """Score and ids of a unit."""
-    best, start_of, id_of = _whole(text, vocabulary)
+    best, via = _whole(text, vocabulary)
     out: list[int] = []
     end = len(text)
     while end:
-        start, piece = start_of[end], id_of[end]
-        if piece < 0:
-            out += [vocabulary.byte_ids[b] for b in reversed(text[start:end].encode("utf-8", "surrogatepass"))]
+        match = via[end]
+        if match is None:
+            out += [vocabulary.byte_ids[b] for b in reversed(text[end - 1 : end].encode("utf-8", "surrogatepass"))]
+            end -= 1
         else:
-            out.append(piece)
-        end = start
+            out.append(match[2])
+            end -= match[0]
     return best[len(text)], out[::-1]
 
 
