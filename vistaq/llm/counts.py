@@ -24,8 +24,11 @@ class Counter:
         self.vocabulary, self.known = vocabulary, vocabulary.remembered("counts")
 
     def count(self, text: str | None) -> int:
-        get, make = self.known.get, self._make
-        return sum([get(unit, make) for unit in units(normalise(text or ""), self.vocabulary)])
+        young, make = self.known.young.get, self._unit
+        return sum([young(unit) or make(unit) for unit in units(normalise(text or ""), self.vocabulary)])  # a unit has at least one piece
+
+    def _unit(self, unit: str) -> int:
+        return self.known.get(unit, self._make)
 
     def _make(self, unit: str) -> int:
         return count_unit(unit, self.vocabulary)
