@@ -184,6 +184,16 @@ def test_blocked_products_equal_plain_ones(monkeypatch):
     assert np.allclose(whole, (weight * model.labels[top]).sum(1) / weight.sum(1), atol=1e-5)
 
 
+def test_ties_go_to_the_first_of_the_sample(monkeypatch):
+    rng = np.random.default_rng(2)
+    counted = np.repeat(rng.random((3, neighbours.TERMS)).astype(np.float32), 40, axis=0)
+    labels = np.tile(np.repeat([1, 0], [neighbours.NEIGHBOURS, 40 - neighbours.NEIGHBOURS]), 3)
+    model = neighbours.fit(counted, labels, 2)
+    for cells in (neighbours.BLOCK_CELLS, 130):
+        monkeypatch.setattr(neighbours, "BLOCK_CELLS", cells)
+        assert np.allclose(model.score(counted), 1)
+
+
 # 4
 
 PAGE = """<!DOCTYPE html><html><head><title>T &amp; t</title><style>p{}</style><script>var t="</p><p>no</p>";</script></head><body class="has-sidebar">
