@@ -16,9 +16,10 @@ component with all members and passes on every estimate that may reach the
 threshold, so no link between components is lost to the forest.
 
 Edge cases: null and empty texts have no shingles and link with nothing; fewer
-words than a shingle make one shingle; a null doc_id is never linked; rows that
-share a doc_id share a component; repeated rows share a class; an empty table
-gives an empty result.
+words than a shingle make one shingle; a null doc_id is never linked; repeated
+rows share a class, hence a component; doc_id is a key, so of different texts
+under one doc_id any one may stand for it in comparisons, and its rows may get
+different components; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -322,7 +323,6 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
     # from classes to rows
     component = class_of.select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"))
     component = component.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("comp", "rep").alias("component_id"))
-    # a repeated doc_id may stand in several classes: the rows of a doc_id are one document
     alone = signed.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     out = component.union(alone)
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

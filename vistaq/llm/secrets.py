@@ -122,9 +122,10 @@ def ownership(found: DataFrame, owner: str, repository: str) -> DataFrame:
 
 
 def find_secrets(docs: DataFrame, keep: list[str], text: str = "text", owner: str = "source", repository: str = "source", shared_owners: int = SHARED_OWNERS) -> DataFrame:
-    """One row per row of ``docs``: ``keep``, base spans, and added spans (live-looking candidates outside the base).
+    """One row per row of ``docs``: ``keep``, base spans, and added spans (live-looking candidates of further kinds).
 
-    Spans are arrays of structs with the value's owners and repositories.
+    Added spans carry the owners and repositories of their value; base spans
+    carry the hash of theirs, which ``ownership`` counts as well.
     """
     need = list(dict.fromkeys([*keep, owner, repository]))
     found = durable(scan(docs, need, text).withColumn("__row", F.monotonically_increasing_id()))
