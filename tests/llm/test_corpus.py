@@ -351,6 +351,24 @@ def test_quality_rules_by_label(spark):
     assert sum(not r.kept for r in found if r.quality == 0) >= 10
 
 
+@pytest.mark.parametrize(("limits", "least"), [(rules.Limits(word_distance=2), 10), (rules.Limits(char_distance=2), 10)])
+def test_each_quality_rule_rejects_junk_by_itself(spark, limits, least):
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    found = rules.judge(docs, limits=limits).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("not base_failed").collect()
+    assert all(r.kept for r in found if r.quality == 1)
+    assert sum(not r.kept for r in found if r.quality == 0) >= least
+
+
+def test_words_of_another_language_are_far(spark):
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    clean = docs.join(spark.read.parquet(f"{sf}/labels.parquet").where("quality = 1"), "doc_id").where("lang = 'en'").withColumn("lang", F.lit("de"))
+    found = rules.judge(clean, limits=rules.Limits(char_distance=2), reference=rules.references(docs)).where("not base_failed").collect()
+    long = [r for r in found if r.n_words >= 300]
+    assert len(long) > 50 and sum(not r.kept for r in long) >= 0.9 * len(long)
+
+
 def test_distance_and_guards(spark):
     p, q = np.array([[1, 0], [1, 1], [0, 0], [2, 2]]), np.array([[0, 1], [2, 2], [1, 1], [0, 0]])
     assert np.allclose(rules.js_distance(p, q), [1, 0, 0, 0])
