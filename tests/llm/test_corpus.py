@@ -208,6 +208,17 @@ def test_extraction_of_an_article():
     assert extraction.main_text(PAGE) == "Head line\nFirst bold line <3, éA. Next.\nUnclosed one\nSecond, para.\nItem 1\nItem 2\nc1\nc2"
 
 
+def test_names_made_of_headings_drop_nothing_of_an_article():
+    page = """<body><article aria-label="Share prices fall" class="post category-social"><h1 id="reply-0">Title</h1><h2 id="related-work">Related work</h2>
+<section id="search-algorithms"><h3 id="Social_impact">Impact</h3><p id="reply-1">Text, one.</p></section><section id="discussion" aria-label="Discussion"><p>Text, two.</p></section>
+<div class="section" id="search"><p>Text, three.</p></div><div class="share-buttons">Share it</div><div id="comments"><p>Nice, thanks.</p></div><article class="comment"><p>Me too.</p></article></article></body>"""
+    assert extraction.main_text(page) == "Title\nRelated work\nImpact\nText, one.\nText, two.\nText, three."
+    assert extraction.main_text("<main><article class='post tag-search category-social' id='post-share'><p>Text.</p></article></main>") == "Text."
+    assert extraction.main_text("<div id='cookie-notice'>Cookies.</div><article hidden>No.</article><main id='search'><p>Text.</p></main>") == "Text."
+    plain = "".join(f"<h2 id='share-{i}'>Head {i}</h2><p id='reply-{i}'>Sentence {i}, which is long enough to be main text, and has commas.</p>" for i in range(4))
+    assert extraction.main_text(f"<body><div>{plain}</div></body>").count("\n") == 7
+
+
 def test_extraction_without_an_article():
     body = "".join(f"<p>Sentence {i}, which is long enough to be main text, and has commas.</p>" for i in range(6))
     page = f'<body><div class="menu"><a href=x>One</a><a href=y>Two</a></div><ul><li><a href=1>Link</a></li><li><a href=2>Link</a></li></ul><div id=content>{body}</div><div class="footer">foot</div></body>'

@@ -6,8 +6,9 @@ texts, punctuation and link text are added up; the ratio of text to texts and
 the punctuation are smoothed over neighbouring paths in page order, fused with
 the same figures of the path's container, and paths above a threshold hold the
 content.  Parts that say what they are (scripts, navigation, forms, adverts,
-comments and so on, by tag, class, id or role) take no part.  If the page marks
-an article, only paths inside it can be chosen.
+comments and so on, by tag, class, id or role) take no part; inside an article
+ids and labels made of headings say nothing.  If the page marks an article, only
+paths inside it can be chosen.
 
 Edge cases: null and empty pages, and pages without visible text, give an empty
 text; unclosed and stray tags follow the usual repair rules; text outside all
@@ -47,6 +48,9 @@ _NAMED = {
 #: As above, but inside an article they hold its own title.
 _OUTSIDE = {"header", "topbar"}
 _CONTENT = {"article", "main"}
+_HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+#: Of the words above, those that are a usual id of a div for something else; the others are as usual in ids made of headings.
+_IDS = {"ad", "ads", "adsense", "advert", "adverts", "advertisement", "banner", "breadcrumb", "breadcrumbs", "commentlist", "comments", "cookie", "cookies", "disqus", "footer", "masthead", "menubar", "navbar", "pager", "pagination", "popup", "sidebar", "toolbar", "widget", "widgets"}
 _CLOSES = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"thead", "tbody", "tr", "td", "th"}}
 _SCOPE = {"li": {"ul", "ol", "menu", "dir"}, "dd": {"dl"}, "dt": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "tbody": {"table"}, "thead": {"table"}, "option": {"select"}}
 _PUNCTUATION = re.compile(r"[.,;:!?。，、！？…]")
@@ -87,16 +91,37 @@ class _Page:
     runs: list[tuple[int, str, str]] = field(default_factory=list)
 
 
-def _named(attributes: str, inside: bool) -> bool:
-    """Whether class, id, role or the hidden state name something else than main text."""
+def _words(value: str) -> list[str]:
+    return [w.lower() for w in _WORDS.findall(value)]
+
+
+def _named(attributes: str, tag: str, inside: bool, marks: bool) -> bool:
+    """Whether class, id, role or the hidden state name something else than main text.
+
+    ids and labels of headings and paragraphs are made of their text and name
+    nothing.  Inside an article no label counts, and an id only if all its words
+    are those of a div for something else.  An element that marks an article is
+    never named; one inside another is by a class or role all of whose words are
+    names (a comment, say).
+    """
     for m in _ATTRIBUTE.finditer(attributes):
         name = m[1].lower()
         value = m[2] or m[3] or m[4] or ""
-        if name in ("class", "id", "role", "aria-label", "data-role"):
-            for word in _WORDS.findall(value):
-                word = word.lower()
-                if word in _NAMED or (word in _OUTSIDE and not inside):
+        if name in ("class", "role", "data-role"):
+            if marks:
+                if inside and any(words and all(w in _NAMED for w in words) for words in map(_words, value.split())):
+                    return True
+            elif not (inside and tag in _HEADINGS) and any(w in _NAMED or (w in _OUTSIDE and not inside) for w in _words(value)):
+                return True
+        elif name in ("id", "aria-label"):
+            words = _words(value)
+            if marks or tag in _HEADINGS or tag == "p":
+                continue
+            if not inside:
+                if any(w in _NAMED or w in _OUTSIDE for w in words):
                     return True
+            elif name == "id" and tag == "div" and words and all(w in _IDS for w in words):
+                return True
         elif name == "hidden" or (name == "aria-hidden" and value == "true"):
             return True
         elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
@@ -178,8 +203,9 @@ def read(html: str) -> _Page:
                 if depth:
                     del stack[depth:]
         top = stack[-1]
-        article = top.article or tag in _CONTENT or bool(m[3] and re.search(r"articlebody|role\s*=\s*[\"']?main\b", m[3], re.I))
-        dropped = top.dropped or tag in _DROPPED or (tag == "header" and not top.article) or (bool(m[3]) and tag not in ("html", "body") and _named(m[3], top.article))
+        marks = tag in _CONTENT or bool(m[3] and re.search(r"articlebody|role\s*=\s*[\"']?main\b", m[3], re.I))
+        article = top.article or marks
+        dropped = top.dropped or tag in _DROPPED or (tag == "header" and not top.article) or (bool(m[3]) and tag not in ("html", "body") and _named(m[3], tag, top.article, marks))
         if not m[3].rstrip().endswith("/") or is_block:
             stack.append(_Node(tag, f"{top.path}/{tag}", dropped, article, top.link or tag == "a", is_block))
     return page
