@@ -219,6 +219,13 @@ def test_names_made_of_headings_drop_nothing_of_an_article():
     assert extraction.main_text(f"<body><div>{plain}</div></body>").count("\n") == 7
 
 
+@pytest.mark.parametrize("mark", ["role='main'", "role=main", "itemprop='articleBody'"])
+def test_a_marked_div_shares_no_path_with_texts_outside(mark):
+    body = f"<div {mark}><h1>T</h1><p>Body</p>tail</div>"
+    assert extraction.main_text(f"<body><div><p>Welcome</p>to</div>{body}</body>") == "T\nBody\ntail"
+    assert extraction.main_text(f"<body>{body}<div><p>Welcome</p>to</div></body>") == "T\nBody\ntail"
+
+
 def test_extraction_without_an_article():
     body = "".join(f"<p>Sentence {i}, which is long enough to be main text, and has commas.</p>" for i in range(6))
     page = f'<body><div class="menu"><a href=x>One</a><a href=y>Two</a></div><ul><li><a href=1>Link</a></li><li><a href=2>Link</a></li></ul><div id=content>{body}</div><div class="footer">foot</div></body>'

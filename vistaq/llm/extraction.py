@@ -207,7 +207,8 @@ def read(html: str) -> _Page:
         article = top.article or marks
         dropped = top.dropped or tag in _DROPPED or (tag == "header" and not top.article) or (bool(m[3]) and tag not in ("html", "body") and _named(m[3], tag, top.article, marks))
         if not m[3].rstrip().endswith("/") or is_block:
-            stack.append(_Node(tag, f"{top.path}/{tag}", dropped, article, top.link or tag == "a", is_block))
+            # the mark is part of the path, so texts inside and outside an article never share one
+            stack.append(_Node(tag, f"{top.path}/{tag}{'*' if article and not top.article else ''}", dropped, article, top.link or tag == "a", is_block))
     return page
 
 
