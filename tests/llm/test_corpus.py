@@ -226,6 +226,17 @@ def test_a_marked_div_shares_no_path_with_texts_outside(mark):
     assert extraction.main_text(f"<body>{body}<div><p>Welcome</p>to</div></body>") == "T\nBody\ntail"
 
 
+def test_lists_of_links_in_an_article_are_left_out_by_their_ratio():
+    links = "".join(f"<li><a href=/{i}>Other page {i}</a></li>" for i in range(6))
+    text = "".join(f"<p>Sentence {i}, with <a href=x>a link</a>, long enough to be main text, and with commas.</p>" for i in range(5))
+    short = "<h2><a href=#s>Short</a></h2><p>Yes.</p><table><tr><td><a href=c>c1</a><td>c2</table><blockquote>So</blockquote>"
+    got = extraction.main_text(f"<article><h1>Title</h1>{text}{short}<div><ul>{links}</ul></div></article>").split("\n")
+    assert len(got) == 11 and got[1].startswith("Sentence 0, with a link, long") and got[6:] == ["Short", "Yes.", "c1", "c2", "So"]
+    assert extraction.main_text(f"<article><h1>List of pages</h1><p>All of them.</p><ul>{links}</ul></article>").count("Other page") == 6
+    items = "".join(f"<li>Item {i} of <a href=x>x</a></li>" for i in range(6))
+    assert extraction.main_text(f"<article>{text}<ul>{items}</ul></article>").count("Item") == 6
+
+
 def test_extraction_without_an_article():
     body = "".join(f"<p>Sentence {i}, which is long enough to be main text, and has commas.</p>" for i in range(6))
     page = f'<body><div class="menu"><a href=x>One</a><a href=y>Two</a></div><ul><li><a href=1>Link</a></li><li><a href=2>Link</a></li></ul><div id=content>{body}</div><div class="footer">foot</div></body>'

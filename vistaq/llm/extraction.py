@@ -8,7 +8,8 @@ the same figures of the path's container, and paths above a threshold hold the
 content.  Parts that say what they are (scripts, navigation, forms, adverts,
 comments and so on, by tag, class, id or role) take no part; inside an article
 ids and labels made of headings say nothing.  If the page marks an article, only
-paths inside it can be chosen.
+paths inside it can be chosen, and as its blocks may be short, all of them but
+lists of links below the threshold.
 
 Edge cases: null and empty pages, and pages without visible text, give an empty
 text; unclosed and stray tags follow the usual repair rules; text outside all
@@ -58,6 +59,8 @@ _WORDS = re.compile(r"[a-z]+|[A-Z][a-z]*")
 
 #: Share of the best path's fused ratio from which on a path holds content.
 THRESHOLD = 0.15
+#: Least share of link text in a list of links, and its least number of texts.
+LINKED, LINKS = 0.9, 3
 #: Weight of a path's container against the path itself.
 CONTAINER = 0.6
 
@@ -77,6 +80,9 @@ class _Path:
     """Sums of a root-to-leaf path."""
 
     container: str
+    #: path and tag of the nearest block
+    block: str
+    tag: str
     article: bool
     chars: int = 0
     texts: int = 0
@@ -145,7 +151,7 @@ def read(html: str) -> _Page:
             found = page.paths.get(top.path)
             if found is None:
                 parent = next((n for n in reversed(stack) if n.block), stack[0])
-                found = page.paths[top.path] = _Path(parent.path.rpartition("/")[0], top.article)
+                found = page.paths[top.path] = _Path(parent.path.rpartition("/")[0], parent.path, parent.tag, top.article)
             found.chars += len(inked)
             found.texts += 1
             found.marks += len(_PUNCTUATION.findall(inked))
@@ -230,12 +236,33 @@ def ratios(page: _Page) -> dict[str, float]:
     return {name: (1 - CONTAINER) * value / best + CONTAINER * containers[p.container][0] / most for (name, p), value in zip(paths, smooth, strict=True)}
 
 
+def link_lists(page: _Page, fused: dict[str, float], best: float) -> set[str]:
+    """Paths inside the article that hold lists of links: below the threshold, in list items or bare blocks that are links without punctuation.
+
+    If most of the article's text is such, that is what the article is about.
+    """
+    blocks: dict[str, list[str]] = {}
+    for name, p in page.paths.items():
+        if p.article and p.tag in ("li", "div", "nav", "ul", "ol", "section"):
+            blocks.setdefault(p.block, []).append(name)
+    out: set[str] = set()
+    for names in blocks.values():
+        own = [page.paths[n] for n in names]
+        chars, linked, texts, marks = (sum(getattr(p, k) for p in own) for k in ("chars", "linked", "texts", "marks"))
+        if linked >= LINKED * chars and marks <= texts and texts >= LINKS and max(fused[n] for n in names) < THRESHOLD * best:
+            out.update(names)
+    size = {n: p.chars for n, p in page.paths.items() if p.article}
+    return out if 2 * sum(size[n] for n in out) < sum(size.values()) else set()
+
+
 def content_paths(page: _Page) -> set[str]:
-    """Paths above the threshold; inside a marked article, its plain text all belongs to it."""
+    """Paths above the threshold; inside a marked article, whose blocks may be short, all but lists of links."""
     marked = any(p.article for p in page.paths.values())
     fused = ratios(page)
     best = max((fused[n] for n, p in page.paths.items() if p.article or not marked), default=0.0)
-    return {n for n, p in page.paths.items() if (p.article if marked else fused[n] >= THRESHOLD * best and (p.linked < 0.5 * p.chars or p.marks > p.texts))}
+    if marked:
+        return {n for n, p in page.paths.items() if p.article} - link_lists(page, fused, best)
+    return {n for n, p in page.paths.items() if fused[n] >= THRESHOLD * best and (p.linked < 0.5 * p.chars or p.marks > p.texts)}
 
 
 def main_text(html: str | None) -> str:
