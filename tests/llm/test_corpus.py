@@ -302,6 +302,17 @@ def test_secret_scan(spark, docs, texts):
     assert got[5].spans == ""  # four owners: a copied example
 
 
+def test_base_spans_are_marked_by_their_owners(spark):
+    hot, own = "password=copied1example", "password=0f9e8d7c6b"
+    texts = [hot, f"{hot} {own}", hot, hot, f"{own} {BEARER}", "none"]
+    got = {r.doc_id: r for r in secrets.report(secrets.find_secrets(documents(spark, texts), ["doc_id"])).collect()}
+    assert (got[0].owners, got[0].repositories, got[0].marks) == ("4", "4", "copied")
+    assert (got[1].owners, got[1].marks) == ("4,2", "copied,live")
+    assert (got[4].owners, got[4].repositories, got[4].marks) == ("2,1", "2,1", "live,live")
+    assert (got[5].spans, got[5].owners, got[5].marks) == ("", "", "")
+    assert got[0].n_assign == 1 and got[0].spans == f"assign:0:{len(hot)}"  # copied ones stay
+
+
 def test_repeated_rows_are_one_owner(spark):
     rows = spark.createDataFrame([(1, BEARER, None)] * 5, "doc_id long, text string, source string")
     assert {r.spans for r in secrets.report(secrets.find_secrets(rows, ["doc_id"])).collect()} == {f"bearer:15:{len(BEARER)}"}

@@ -89,6 +89,8 @@ def digest(spans: Iterable[tuple]) -> str:
 
 SPAN = "array<struct<kind:string,start:long,end:long,value:binary>>"
 FIELDS = f"base {SPAN}, candidates {SPAN}"
+#: Spans of find_secrets.
+MARKED = "array<struct<kind:string,start:long,end:long,value:binary,owners:long,repositories:long,live:boolean>>"
 _ARROW = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("value", pa.binary())]))
 
 
@@ -124,38 +126,50 @@ def ownership(found: DataFrame, owner: str, repository: str) -> DataFrame:
 def find_secrets(docs: DataFrame, keep: list[str], text: str = "text", owner: str = "source", repository: str = "source", shared_owners: int = SHARED_OWNERS) -> DataFrame:
     """One row per row of ``docs``: ``keep``, base spans, and added spans (live-looking candidates of further kinds).
 
-    Added spans carry the owners and repositories of their value; base spans
-    carry the hash of theirs, which ``ownership`` counts as well.
+    Spans of both carry the hash, owners and repositories of their value, and
+    whether it looks live; base spans stay where it is a copied one.
     """
     need = list(dict.fromkeys([*keep, owner, repository]))
     found = durable(scan(docs, need, text).withColumn("__row", F.monotonically_increasing_id()))
-    counts = ownership(found, owner, repository)
-    with_more = found.where(F.size("candidates") > 0)
-    spans = with_more.select("__row", F.explode("candidates").alias("span")).select("__row", "span.*").join(counts, "value")
-    live = spans.where(F.col("owners") < shared_owners).groupBy("__row").agg(F.collect_list(F.struct("kind", "start", "end", "owners", "repositories")).alias("added"))
-    none = F.array().cast("array<struct<kind:string,start:long,end:long,owners:long,repositories:long>>")
-    joined = with_more.join(live, "__row", "left").withColumn("added", F.coalesce("added", none))
-    rest = found.where(F.size("candidates") == 0).withColumn("added", none)
-    return joined.select(*keep, "base", "added").union(rest.select(*keep, "base", "added"))
+    counts = durable(ownership(found, owner, repository))  # written, so that the join has two plain exchanges and a hot value can be split
+    filled = found.where(F.size("base") + F.size("candidates") > 0)
+    spans = filled.select("__row", F.size("base").alias("n_base"), F.posexplode(F.concat("base", "candidates")).alias("at", "span")).select("__row", "n_base", "at", "span.*").join(counts, "value")
+    spans = spans.withColumn("live", F.col("owners") < shared_owners)
+    one = F.struct("at", "kind", "start", "end", "value", "owners", "repositories", "live")
+    marked = spans.groupBy("__row").agg(
+        F.array_sort(F.collect_list(F.when(F.col("at") < F.col("n_base"), one))).alias("base"),
+        F.array_sort(F.collect_list(F.when((F.col("at") >= F.col("n_base")) & F.col("live"), one))).alias("added"),
+    )
+    names = [x.split(":")[0] for x in MARKED[len("array<struct<") : -2].split(",")]
+    plain = [F.transform(c, lambda x: F.struct(*[x[n].alias(n) for n in names])).cast(MARKED).alias(c) for c in ("base", "added")]
+    joined = filled.drop("base", "candidates").join(marked, "__row").select(*keep, *plain)
+    none = F.array().cast(MARKED)
+    return joined.union(found.where(F.size("base") + F.size("candidates") == 0).select(*keep, none.alias("base"), none.alias("added")))
 
 
 def report(found: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The digest columns of the rows of find_secrets."""
+    """The digest columns of the rows of find_secrets, then owners, repositories and mark (live or copied) of each of ``spans``."""
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             base = batch.column("base").to_pylist()
             added = batch.column("added").to_pylist()
             counts = np.array([[sum(s["kind"] == k for s in x) for k in KINDS[:3]] for x in base], np.int64).reshape(-1, 3)
-            plain = [[(s["start"], s["end"], s["kind"]) for s in x] for x in base]
-            every = [_ordered(p + [(s["start"], s["end"], s["kind"]) for s in x]) for p, x in zip(plain, added, strict=True)]
+            plain, more = ([[(s["start"], s["end"], s["kind"], s["owners"], s["repositories"], "live" if s["live"] else "copied") for s in x] for x in y] for y in (base, added))
+            every = [_ordered(p + x) for p, x in zip(plain, more, strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(key), *(pa.array(counts[:, i]) for i in range(3)), pa.array([hashlib.sha256(digest(_ordered(p)).encode()).hexdigest() for p in plain], pa.string()), pa.array([digest(e) for e in every], pa.string())],
-                names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"],
+                [
+                    batch.column(key),
+                    *(pa.array(counts[:, i]) for i in range(3)),
+                    pa.array([hashlib.sha256(digest(_ordered(p)).encode()).hexdigest() for p in plain], pa.string()),
+                    pa.array([digest(e) for e in every], pa.string()),
+                    *(pa.array([",".join(str(s[i]) for s in e) for e in every], pa.string()) for i in (3, 4, 5)),
+                ],
+                names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "owners", "repositories", "marks"],
             )
 
     kind = found.schema[key].dataType.simpleString()
-    return found.select(key, "base", "added").mapInArrow(rows, f"doc_id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    return found.select(key, "base", "added").mapInArrow(rows, f"doc_id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, owners string, repositories string, marks string")
 
 
 MASK = "[secret]"
