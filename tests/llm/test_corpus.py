@@ -313,6 +313,24 @@ def test_base_spans_are_marked_by_their_owners(spark):
     assert got[0].n_assign == 1 and got[0].spans == f"assign:0:{len(hot)}"  # copied ones stay
 
 
+def test_long_secrets_are_found_whole():
+    rng = random.Random(6)
+    made = lambda n: "".join(rng.choice("abcXYZ0189%-._") for _ in range(n))
+    key = "\n".join(made(64).translate({ord(c): "A" for c in "%-._"}) for _ in range(20))
+    headers = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0A1B2C3D4E5F60718293A4B5C6D7E8F9\n\n"
+    for secret, kind in [
+        (f"postgres://{made(5)}:{made(9)}@", "dsn"),
+        (f"postgres://{made(300)}:{made(900)}@", "dsn"),
+        (f"{'s' * 40}+x://{made(65)}:{made(129)}@", "dsn"),
+        (f"-----BEGIN RSA PRIVATE KEY-----\n{key}\n-----END RSA PRIVATE KEY-----", "private_key"),
+        (f"-----BEGIN RSA PRIVATE KEY-----\n{headers}{key}\n-----END RSA PRIVATE KEY-----", "private_key"),
+        (f"-----BEGIN {'LONG NAME ' * 5}PRIVATE KEY-----\r\nComment: a-b (c)\r\n{key}\r\n-----END {'LONG NAME ' * 5}PRIVATE KEY-----", "private_key"),
+    ]:
+        assert [s[:3] for s in secrets.candidate_spans(f"x {secret}host/y")] == [(2, 2 + len(secret), kind)]
+    for text in ("a+" * 200_000 + "://", "s://" + "u" * 400_000, "s://u:" + "p" * 400_000, "a://b:" * 60_000, "-----BEGIN PRIVATE KEY-----" + " " * 400_000, "a:-----BEGIN PRIVATE KEY-----\n" * 20_000, "-----BEGIN PRIVATE KEY-----\n" + "a:b\n" * 100_000):
+        assert secrets.candidate_spans(text) == []
+
+
 def test_repeated_rows_are_one_owner(spark):
     rows = spark.createDataFrame([(1, BEARER, None)] * 5, "doc_id long, text string, source string")
     assert {r.spans for r in secrets.report(secrets.find_secrets(rows, ["doc_id"])).collect()} == {f"bearer:15:{len(BEARER)}"}

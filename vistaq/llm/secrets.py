@@ -35,8 +35,10 @@ KINDS = ["assign", "access", "hex", "bearer", "prefixed", "dsn", "private_key",
 MORE = {
     "bearer": re.compile(r"\b[Bb]earer\x20+([A-Za-z0-9._~+/-]{20,}=*)"),
     "prefixed": re.compile(r"\b(?:gh[pousr]_[A-Za-z0-9]{30,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{30,}|glpat-[A-Za-z0-9_-]{20,})"),
-    "dsn": re.compile(r"\b[a-z][a-z0-9+]{1,20}://[^\s:/@]{1,64}:([^\s@/]{6,128})@"),
-    "private_key": re.compile(r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[A-Za-z0-9+/=\s]{32,}-----END [A-Z ]{0,30}PRIVATE KEY-----"),
+    # long schemes start at one place only, and runs give nothing back: time stays linear
+    "dsn": re.compile(r"(?:\b[a-z][a-z0-9+]{1,20}|(?<![a-z0-9+])[a-z][a-z0-9+]{21,}+)://[^\s:/@]++:([^\s@/]{6,}+)@"),
+    # header lines as Proc-Type and DEK-Info may come before the key
+    "private_key": re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:\s*+(?:[A-Za-z][A-Za-z0-9-]*+:(?:[^\n-]|-(?!----))*+\n)++)?+[A-Za-z0-9+/=\s]{32,}+-----END [A-Z ]*PRIVATE KEY-----"),
     "jwt": re.compile(r"\beyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
 }
 _NEEDLES = {"bearer": ("earer",), "prefixed": ("gh", "xox", "sk_live_", "AIza", "glpat-"), "dsn": ("://",), "private_key": ("PRIVATE KEY",), "jwt": ("eyJ",)}
