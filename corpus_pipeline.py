@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vistaq.llm import decontam, neardup, pieces, rules, secrets, unigram
-from vistaq.llm.common import shared_folder, table
+from vistaq.llm.common import durable, shared_folder, table
 from vistaq.llm.queries import VOCABULARY
 
 
@@ -23,9 +23,15 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of links; rows without an id stay."""
-    gone = neardup.link(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group of links, that of the smallest doc_id; where doc_id is no key, rows are numbered and linked by number."""
+    if not docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").limit(1).count():
+        gone = neardup.link(docs).where("not kept").select("doc_id").distinct()
+        return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    rows = durable(docs.withColumn("__n", F.monotonically_increasing_id()))
+    linked = neardup.link(rows, key="__n").select(F.col("doc_id").alias("__n"), "component_id")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "__n")
+    first = linked.join(rows.select("__n", "doc_id"), "__n").groupBy("component_id").agg(F.min(order).getField("__n").alias("__n"))
+    return rows.join(first, "__n", "left_semi").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -83,6 +83,17 @@ def test_counting_on_spark(spark, vocabulary, library, texts):
     assert counts.count_tokens(rows.limit(0), vocabulary).count() == 0
 
 
+def test_near_duplicates_go_by_row_where_doc_id_is_no_key(spark, sf):
+    rows = [(4, "a b c d e f", 0), (4, "another text, a clean one", 1), (2, "a b c d e f", 2), (7, "one text twice here", 3), (7, "one text twice here", 4)]
+    rows += [(None, "without an id at all", 5), (None, "without an id at all", 6), (None, None, 7), (None, None, 8), (9, "", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n long")
+    single = corpus_pipeline.near_duplicates(spark, docs, sf)
+    assert single.columns == docs.columns
+    found = sorted((r.doc_id, r.text, r.n) for r in single.where("doc_id is not null").collect())
+    assert [(i, n) for i, _, n in found if i != 7] == [(2, 2), (4, 1), (9, 9)] and [i for i, _, _ in found].count(7) == 1
+    assert sorted(str(r.text) for r in single.where("doc_id is null").collect()) == ["None", "None", "without an id at all"]
+
+
 def test_pipeline_stages_keep_their_promises(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     q = queries()
