@@ -3,20 +3,41 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; only where none is set, as in local tests, a temporary folder of the driver."""
+    """The session's ``spark.checkpoint.dir``; only where none is set and all runs on this machine, as in tests, a temporary folder."""
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if context._jsc.sc().getCheckpointDir().isEmpty():
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="vistaq-checkpoint-"))
     return folder or context._jsc.sc().getCheckpointDir().get()
 
 
+def _own_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark).rstrip('/')}/vistaq-{spark.sparkContext.applicationId}"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The rows, written once as Parquet to the shared folder: a lost executor costs no recomputation, columns are pruned and the size is known to joins."""
+    spark = df.sparkSession
+    path = f"{_own_folder(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Remove what ``stored`` has written in this application; results that were not read yet are lost."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def durable(df: DataFrame) -> DataFrame:
     """The rows, written once to the shared checkpoint folder, so that a lost executor costs no recomputation."""
     shared_folder(df.sparkSession)
