@@ -408,9 +408,48 @@ def test_long_secrets_are_found_whole():
         (f"-----BEGIN RSA PRIVATE KEY-----\n{headers}{key}\n-----END RSA PRIVATE KEY-----", "private_key"),
         (f"-----BEGIN {'LONG NAME ' * 5}PRIVATE KEY-----\r\nComment: a-b (c)\r\n{key}\r\n-----END {'LONG NAME ' * 5}PRIVATE KEY-----", "private_key"),
     ]:
-        assert [s[:3] for s in secrets.candidate_spans(f"x {secret}host/y")] == [(2, 2 + len(secret), kind)]
+        assert [s[:3] for s in secrets.candidate_spans(f"x {secret}host/y", [])] == [(2, 2 + len(secret), kind)]
     for text in ("a+" * 200_000 + "://", "s://" + "u" * 400_000, "s://u:" + "p" * 400_000, "a://b:" * 60_000, "-----BEGIN PRIVATE KEY-----" + " " * 400_000, "a:-----BEGIN PRIVATE KEY-----\n" * 20_000, "-----BEGIN PRIVATE KEY-----\n" + "a:b\n" * 100_000):
-        assert secrets.candidate_spans(text) == []
+        assert secrets.candidate_spans(text, []) == []
+
+
+def test_near_misses_of_the_base():
+    digits = "0A1B2C3D4E5F60718293A4B5C6D7E8F9"
+    for text, kind, value in [
+        (f"key {digits} end", "upper_hex", digits),
+        ("secret = 'q7w8e9r'", "short_assign", "secret = 'q7w8e9r"),
+        ("ACCESS_KEY: \"Zx9Cv8Bn7Mm6\"", "keyed", "ACCESS_KEY: \"Zx9Cv8Bn7Mm6\""),
+    ]:
+        assert secrets.base_spans(text) == [] and [(k, text[a:b]) for a, b, k, _ in secrets.candidate_spans(text, [])] == [(kind, value)]
+    for text in (f"x{digits}", digits[:31], "A" * 40, "1" * 40, "secret = 'aaaaaa'", "ſecret = q7w8e9r"):
+        assert secrets.candidate_spans(text, []) == []
+    inside = f'token = "{digits}"'  # a base span already
+    assert secrets.candidate_spans(inside, secrets.base_spans(inside)) == []
+    for text in ("0" * 300_000, "A" * 300_000, "secret" + " " * 300_000, "auth='" + "a" * 300_000):
+        assert secrets.candidate_spans(text, []) == []
+
+
+def test_owners_decide_on_near_misses(spark):
+    """The same text is a secret of two owners, and an example of three; counts equal a brute-force count."""
+    rng = random.Random(16)
+    values = ["".join(rng.choice("0123456789ABCDEF") for _ in range(32)) + "A0" for _ in range(8)]
+    rows = [(i, f"k {values[rng.randrange(8)]} and {values[rng.randrange(3)]}.", f"s{rng.randrange(5)}", f"r{rng.randrange(4)}", 1, "b", "c") for i in range(40)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string, repository string, base int, added string, candidates string")
+    owners, places = defaultdict(set), defaultdict(set)
+    for _, text, source, repository, *_ in rows:
+        for v in re.findall("[0-9A-F]{32,}", text):
+            owners[v].add(source)
+            places[v].add((source, repository))
+    found = secrets.find_secrets(frame, frame.columns, repository="repository")
+    assert found.columns == ["doc_id", "text", "source", "repository", "candidates", "base", "added"]
+    got = {r.doc_id: r for r in secrets.report(found).collect()}
+    for i, text, *_ in rows:
+        want = [(m.start(), m.end(), m[0]) for m in re.finditer("[0-9A-F]{32,}", text) if len(owners[m[0]]) < secrets.SHARED_OWNERS]
+        assert got[i].spans == ",".join(f"upper_hex:{a}:{b}" for a, b, _ in want)
+        assert got[i].owners == ",".join(str(len(owners[v])) for *_, v in want) and got[i].repositories == ",".join(str(len(places[v])) for *_, v in want)
+    assert len({len(o) < secrets.SHARED_OWNERS for o in owners.values()}) == 2
+    masked = {r.doc_id: r for r in secrets.redact(frame, repository="repository").collect()}
+    assert all((secrets.MASK in masked[i].text) == bool(got[i].spans) and masked[i].added == "b" for i in got)
 
 
 def test_repeated_rows_are_one_owner(spark):

@@ -46,7 +46,7 @@ SAMPLE, BITS = 1024, 2048
 #: Bands looked at up to the end of each pass.
 PASSES = (2, 8, BANDS)
 #: Members of a bucket that are compared in one piece, and the shingles they may have in all.
-TILE, TILE_SHINGLES = 512, 4_000_000
+TILE, TILE_SHINGLES = 128, 4_000_000
 
 _HASHES = blocks.mix64(np.arange(1, BANDS * ROWS + 1, dtype=blocks.U) * blocks.U(0x9E3779B97F4A7C15))
 
@@ -307,7 +307,8 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _salted(tiles: str, salt: str) -> Column:
-    return F.pmod(F.xxhash64("rep", F.lit(salt)), F.col(tiles))
+    """The member's tile; another one in each bucket, so that what one bucket keeps apart meets in the next."""
+    return F.pmod(F.xxhash64("rep", "bucket", F.lit(salt)), F.col(tiles))
 
 
 def _tiles(count: str, sizes: str) -> Column:

@@ -49,8 +49,9 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return secrets.report(secrets.find_secrets(docs, ["doc_id"]))
+    # a source is the owner; its part in one language stands for a repository
+    docs = table(spark, sf_dir, "documents").withColumn("repository", F.concat_ws("/", "source", "lang"))
+    return secrets.report(secrets.find_secrets(docs, ["doc_id"], repository="repository"))
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,19 +1,25 @@
 """Secret scans with corpus-wide ownership frequency.
 
 A scan of each text gives base spans of three kinds and candidates of more
-kinds.  Candidate hashes are counted over the corpus by distinct repositories
-and owners: a value that many owners share is a copied example, a value of one
-or two owners looks live, and only the live ones become further spans.  Base
-spans are always kept.
+kinds: other forms of credentials, and near misses of the base (upper-case hex,
+short assigned values, quoted values behind other key words).  Hashes of all of
+them are counted over the corpus by distinct repositories and owners: a value
+that many owners share is a copied example, a value of one or two owners looks
+live.  Only live candidates become further spans; base spans are always kept,
+and the counts mark them live or copied.
 
 Edge cases: null and empty texts have no spans; equal spans of different kinds
-each count; a null owner or repository counts as one of its own; repeated rows
-of one document are one owner's; an empty table gives an empty result.
+each count; a candidate inside a base span adds nothing and is left out; a null
+owner or repository counts as one of its own; repeated rows of one document are
+one owner's; columns named as those that are added are replaced; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import itertools
 import math
 import re
 from collections import Counter
@@ -24,13 +30,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, extended, in_small_batches
+from .common import extended, in_small_batches, stored
 
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 #: Kinds in the order in which equal starts are listed; the first three are the base.
-KINDS = ["assign", "access", "hex", "bearer", "prefixed", "dsn", "private_key", "jwt"]
+KINDS = ["assign", "access", "hex", "bearer", "prefixed", "dsn", "private_key", "jwt", "upper_hex", "short_assign", "keyed"]
 # Forms of further credentials.
 MORE = {
     "bearer": re.compile(r"\b[Bb]earer\x20+([A-Za-z0-9._~+/-]{20,}=*)"),
@@ -40,14 +46,22 @@ MORE = {
     # header lines as Proc-Type and DEK-Info may come before the key
     "private_key": re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:\s*+(?:[A-Za-z][A-Za-z0-9-]*+:(?:[^\n-]|-(?!----))*+\n)++)?+[A-Za-z0-9+/=\s]{32,}+-----END [A-Z ]*PRIVATE KEY-----"),
     "jwt": re.compile(r"\beyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
+    "upper_hex": re.compile(r"(?<![0-9A-Za-z])(?=[0-9]*+[A-F])(?=[A-F]*+[0-9])[0-9A-F]{32,}+(?![0-9A-Za-z])"),
+    "short_assign": re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*+[:=]\x20*+["']?([A-Za-z0-9+/_.=-]{6,7})(?![A-Za-z0-9+/_.=-])""", re.ASCII),
+    "keyed": re.compile(r"""(?i:pwd|pass_?phrase|private_?key|access_?key|credentials?|auth)["']?\x20*+[:=]\x20*+["']([A-Za-z0-9+/_.=-]{12,}+)["']""", re.ASCII),
 }
-_NEEDLES = {"bearer": ("earer",), "prefixed": ("gh", "xox", "sk_live_", "AIza", "glpat-"), "dsn": ("://",), "private_key": ("PRIVATE KEY",), "jwt": ("eyJ",)}
+#: One of these, in lower case, stands in every text with a span of the kind.
+_NEEDLES = {
+    "bearer": ("bearer",), "prefixed": ("gh", "xox", "sk_live_", "aiza", "glpat-"), "dsn": ("://",), "private_key": ("private key",), "jwt": ("eyj",), "upper_hex": ("a", "b", "c", "d", "e", "f"),
+    "short_assign": ("passw", "secret", "token", "api"), "keyed": ("pwd", "phrase", "key", "credential", "auth"),
+}
 #: Owners from which on a value is a copied example.
 SHARED_OWNERS = 3
 #: Bits a character below which a candidate is a placeholder.
 MIN_ENTROPY = 2.5
 
 _HEX_MARK = bytes(0x68 if chr(i) in "0123456789abcdef" else 0x20 for i in range(256))
+_UPPER_MARK = bytes(0x68 if chr(i) in "0123456789ABCDEF" else 0x20 for i in range(256))
 _HEX_RUN = b"h" * 32
 
 
@@ -69,18 +83,35 @@ def base_spans(text: str) -> list[tuple[int, int, str, str]]:
     return _ordered(out)
 
 
-def candidate_spans(text: str) -> list[tuple[int, int, str, str]]:
-    """Further candidates, which the corpus decides on."""
-    out = []
+def candidate_spans(text: str, base: list[tuple[int, int, str, str]]) -> list[tuple[int, int, str, str]]:
+    """Further candidates, which the corpus decides on; none inside a base span or, for near misses, another candidate."""
+    out: list[tuple[int, int, str, str]] = []
+    low = text.lower()
+    upper = _HEX_RUN in text.encode("utf-8", "surrogatepass").translate(_UPPER_MARK)
+    held = _Cover(base)
     for kind, pattern in MORE.items():
-        if any(x in text for x in _NEEDLES[kind]):
+        if kind == "upper_hex":
+            held = _Cover(_ordered([*base, *out]))
+        if (kind != "upper_hex" or upper) and any(x in low for x in _NEEDLES[kind]):
             for m in pattern.finditer(text):
                 value = m[1] if pattern.groups else m[0]
-                if entropy(value) >= MIN_ENTROPY:
+                if entropy(value) >= MIN_ENTROPY and not held.has(m.start(), m.end()):
                     out.append((m.start(), m.end(), kind, value))
     return _ordered(out)
 
 
+class _Cover:
+    """Whether a span lies in one of others, which come by start."""
+
+    def __init__(self, spans: list[tuple[int, int, str, str]]):
+        self.starts = [s[0] for s in spans]
+        self.furthest = list(itertools.accumulate((s[1] for s in spans), max))
+
+    def has(self, start: int, end: int) -> bool:
+        at = bisect.bisect_right(self.starts, start)
+        return at > 0 and self.furthest[at - 1] >= end
+
+
 def _ordered(spans: list) -> list:
     return sorted(spans, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
@@ -90,7 +121,7 @@ def digest(spans: Iterable[tuple]) -> str:
 
 
 SPAN = "array<struct<kind:string,start:long,end:long,value:binary>>"
-FIELDS = f"base {SPAN}, candidates {SPAN}"
+FIELDS = f"__base {SPAN}, __more {SPAN}"
 #: Spans of find_secrets.
 MARKED = "array<struct<kind:string,start:long,end:long,value:binary,owners:long,repositories:long,live:boolean>>"
 _ARROW = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("value", pa.binary())]))
@@ -101,26 +132,27 @@ def _found(spans: list) -> list[dict]:
 
 
 def scan(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
-    """The columns ``keep`` followed by FIELDS; values are hashed and never leave the task in clear."""
+    """The columns ``keep`` (with names of their own) followed by FIELDS; values are hashed and never leave the task in clear."""
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             base, more = [], []
             for value in batch.column(text):
                 own = value.as_py() or ""
-                base.append(_found(base_spans(own)))
-                more.append(_found(candidate_spans(own)))
+                spans = base_spans(own)
+                base.append(_found(spans))
+                more.append(_found(candidate_spans(own, spans)))
             arrays = [batch.column(c) for c in keep]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array(base, _ARROW), pa.array(more, _ARROW)], names=[*keep, "base", "candidates"])
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array(base, _ARROW), pa.array(more, _ARROW)], names=[*keep, "__base", "__more"])
 
     columns = list(dict.fromkeys([*keep, text]))
     return in_small_batches(docs).select(*columns).mapInArrow(rows, extended(docs.select(*keep).schema, FIELDS))
 
 
-def ownership(found: DataFrame, owner: str, repository: str) -> DataFrame:
+def ownership(found: DataFrame) -> DataFrame:
     """value, owners, repositories: distinct counts over the corpus, first made distinct so that a hot value shrinks in the tasks."""
-    seen = found.select(F.explode(F.concat("base", "candidates")).alias("span"), F.col(owner).cast("string").alias("owner"), F.col(repository).cast("string").alias("repository"))
-    places = seen.select("span.value", F.coalesce("owner", F.lit("")).alias("owner"), F.coalesce("repository", F.lit("")).alias("repository")).distinct()
+    seen = found.select(F.explode(F.concat("__base", "__more")).alias("span"), "__owner", "__repository")
+    places = seen.select("span.value", F.coalesce("__owner", F.lit("")).alias("owner"), F.coalesce("__repository", F.lit("")).alias("repository")).distinct()
     by_owner = places.groupBy("value", "owner").agg(F.count("*").alias("places"))
     return by_owner.groupBy("value").agg(F.count("*").alias("owners"), F.sum("places").alias("repositories"))
 
@@ -129,13 +161,16 @@ def find_secrets(docs: DataFrame, keep: list[str], text: str = "text", owner: st
     """One row per row of ``docs``: ``keep``, base spans, and added spans (live-looking candidates of further kinds).
 
     Spans of both carry the hash, owners and repositories of their value, and
-    whether it looks live; base spans stay where it is a copied one.
+    whether it looks live; base spans stay where it is a copied one.  A repository
+    is one of an owner's; where only one of the two is known, both are it.
     """
-    need = list(dict.fromkeys([*keep, owner, repository]))
-    found = durable(scan(docs, need, text).withColumn("__row", F.monotonically_increasing_id()))
-    counts = durable(ownership(found, owner, repository))  # written, so that the join has two plain exchanges and a hot value can be split
-    filled = found.where(F.size("base") + F.size("candidates") > 0)
-    spans = filled.select("__row", F.size("base").alias("n_base"), F.posexplode(F.concat("base", "candidates")).alias("at", "span")).select("__row", "n_base", "at", "span.*").join(counts, "value")
+    keep = [c for c in dict.fromkeys(keep) if c not in ("base", "added")]
+    own = docs.select(*keep, docs[text].cast("string").alias("__text"), docs[owner].cast("string").alias("__owner"), docs[repository].cast("string").alias("__repository"))
+    # row numbers are drawn once, in a written table
+    found = stored(scan(own, [*keep, "__owner", "__repository"], "__text").withColumn("__row", F.monotonically_increasing_id()))
+    counts = stored(ownership(found))  # written, so that the join has two plain exchanges and a hot value can be split
+    some = F.size("__base") + F.size("__more") > 0
+    spans = found.where(some).select("__row", F.size("__base").alias("n_base"), F.posexplode(F.concat("__base", "__more")).alias("at", "span")).select("__row", "n_base", "at", "span.*").join(counts, "value")
     spans = spans.withColumn("live", F.col("owners") < shared_owners)
     one = F.struct("at", "kind", "start", "end", "value", "owners", "repositories", "live")
     marked = spans.groupBy("__row").agg(
@@ -144,9 +179,9 @@ def find_secrets(docs: DataFrame, keep: list[str], text: str = "text", owner: st
     )
     names = [x.split(":")[0] for x in MARKED[len("array<struct<") : -2].split(",")]
     plain = [F.transform(c, lambda x: F.struct(*[x[n].alias(n) for n in names])).cast(MARKED).alias(c) for c in ("base", "added")]
-    joined = filled.drop("base", "candidates").join(marked, "__row").select(*keep, *plain)
+    joined = found.where(some).select(*keep, "__row").join(marked, "__row").select(*keep, *plain)
     none = F.array().cast(MARKED)
-    return joined.union(found.where(F.size("base") + F.size("candidates") == 0).select(*keep, none.alias("base"), none.alias("added")))
+    return joined.union(found.where(~some).select(*keep, none.alias("base"), none.alias("added")))
 
 
 def report(found: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -180,9 +215,11 @@ MASK = "[secret]"
 def redact(docs: DataFrame, key: str = "doc_id", text: str = "text", owner: str = "source", repository: str = "source", shared_owners: int = SHARED_OWNERS) -> DataFrame:
     """``docs`` with every base span and every live-looking span replaced by MASK; other columns stay."""
     shape = docs.schema
+    prints = docs.select(docs[key].alias("__key"), F.xxhash64(docs[key], docs[text]).alias("__print"), docs[text].alias("__text"), docs[owner].alias("__of"), docs[repository].alias("__in"))
+    found = find_secrets(prints, ["__key", "__print"], "__text", "__of", "__in", shared_owners)
+    # written, so that its size is known: the texts themselves are only dealt anew if it is large
+    added = stored(found.where(F.size("added") > 0).select("__key", F.col("__print").alias("__copy"), F.col("added").alias("__added")).dropDuplicates(["__key", "__copy"]))
     marked = docs.withColumn("__print", F.xxhash64(F.col(key), F.col(text)))
-    found = find_secrets(marked, [key, "__print"], text, owner, repository, shared_owners)
-    added = found.where(F.size("added") > 0).select(F.col(key).alias("__key"), F.col("__print").alias("__copy"), F.col("added").alias("__added")).dropDuplicates(["__key", "__copy"])
     joined = marked.join(added, marked[key].eqNullSafe(added["__key"]) & (marked["__print"] == added["__copy"]), "left").select(*docs.columns, "__added")
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
