@@ -63,7 +63,7 @@ def test_folder_list(spark):
 def test_model_names():
     assert short_model_name("google/siglip2-so400m-patch16-512") == "siglip2-so400m"
     assert short_model_name("openai/clip-vit-large-patch14") == "clip-vit-large"
-    assert short_model_name("x/clip-b") == "clip_b"
+    assert short_model_name("x/clip-b") == "clip-b" and short_model_name("x/CLIP.b") == "clip.b"
     assert short_model_name("hub/ViT-B.32") == "vit_b_32"
     assert model_space("a/siglip2-so400m-x") != model_space("a/siglip2-so400m-y")
     assert thresholds("x/clip-vit-large-patch14").text == 22.0

@@ -87,7 +87,7 @@ def short_model_name(name: Column) -> Column:
     parts = F.split(last, "-")
     return (
         F.when(F.contains(last, F.lit("siglip2")), F.array_join(F.slice(parts, 1, 2), "-"))
-        .when(F.contains(last, F.lit("clip")) & (F.size(parts) >= 3), F.array_join(F.slice(parts, 1, 3), "-"))
+        .when(F.contains(last, F.lit("clip")), F.array_join(F.slice(parts, 1, 3), "-"))
         .otherwise(F.translate(last, "-.", "__"))
     )
 

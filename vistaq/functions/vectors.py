@@ -54,5 +54,13 @@ def matrix(column: pa.Array, width: int | None = None) -> tuple[np.ndarray, np.n
     return rows, held.flatten().to_numpy(zero_copy_only=False).astype(np.float32, copy=False).reshape(-1, width)
 
 
+def folded(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Row-wise dot products added in index order in doubles, as the Column form does; ``b`` is as many rows, or one."""
+    out = np.zeros(len(a))
+    for i in range(a.shape[1]):
+        out += a[:, i].astype(np.float64) * np.asarray(b[..., i], np.float64)
+    return out
+
+
 def unit_rows(values: np.ndarray, floor: float = 1e-12) -> np.ndarray:
     return values / np.maximum(np.linalg.norm(values, axis=1, keepdims=True), floor)

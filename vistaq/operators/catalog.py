@@ -9,6 +9,42 @@ from ..functions import paths
 from ..schemas import RECORD, SCHEMA_VERSION
 from ..sources.shared import written
 
+#: Folders up to which a list of them is sent along with the plan.
+FEW_FOLDERS = 4096
+
+
+def present(items: DataFrame, held: DataFrame, key: str) -> DataFrame:
+    """Items whose key is held."""
+    return items.join(held.select(key).distinct(), key, "left_semi").select(*items.columns)
+
+
+def missing(items: DataFrame, held: DataFrame, key: str) -> DataFrame:
+    """Items whose key is not held."""
+    return items.join(held.select(key).distinct(), key, "left_anti").select(*items.columns)
+
+
+def added(after: DataFrame, before: DataFrame) -> DataFrame:
+    """Distinct rows that were not there before."""
+    return after.subtract(before)
+
+
+def counts_by(items: DataFrame, key: str, **conditions: Column) -> DataFrame:
+    """Rows of each key as ``n``, and those that meet each condition."""
+    return items.groupBy(key).agg(F.count("*").alias("n"), *[F.count_if(c).alias(name) for name, c in conditions.items()])
+
+
+def page(items: DataFrame, order: list[str], limit: int, offset: int = 0) -> DataFrame:
+    """A page of an ordered listing."""
+    return items.orderBy(*order).offset(offset).limit(limit)
+
+
+def registered(rows: DataFrame, key: str, since: str, order: list[Column]) -> DataFrame:
+    """One row for each key: the last in the order, with the first time of all in ``since``."""
+    others = [c for c in rows.columns if c not in (key, since)]
+    best = rows.groupBy(key).agg(F.min(since).alias(since), F.max_by(F.struct(*others), F.struct(*order)).alias("__row"))
+    return best.select(key, since, "__row.*").select(*rows.columns)
+
+
 def first_by(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """One whole row for each key, the first in an order that must be total.
 
@@ -35,6 +71,13 @@ def records_needing_embedding(scanned: DataFrame, stored: DataFrame, id_: str =
     return joined.where(F.col("__old").isNull() | (F.col("mtime") != F.col("__mtime")) | (F.col("size") != F.col("__size"))).select(*scanned.columns)
 
 
+def records_moved(scanned: DataFrame, stored: DataFrame, id_: str = "media_id", owner: str = "folder_id") -> DataFrame:
+    """Scanned rows that are as stored but for their owner."""
+    old = stored.select(F.col(id_), F.col("mtime").alias("__mtime"), F.col("size").alias("__size"), F.col(owner).alias("__owner"))
+    joined = scanned.join(old, id_)
+    return joined.where((F.col("mtime") == F.col("__mtime")) & (F.col("size") == F.col("__size")) & (F.col(owner) != F.col("__owner"))).select(*scanned.columns)
+
+
 def stale(stored: DataFrame, scanned: DataFrame, id_: str = "media_id") -> DataFrame:
     """Stored rows that the scan no longer finds."""
     return stored.join(scanned.select(id_).distinct(), id_, "left_anti")
@@ -51,12 +94,18 @@ def classify(stored: DataFrame, scanned: DataFrame, id_: str = "media_id", versi
 def owners(items: DataFrame, folders: DataFrame, path: str = "path_key", folder: str = "folder_key") -> DataFrame:
     """All columns of ``items`` with ``folder``: the deepest folder that holds the path, null if none does.
 
-    Each path is spread to its own prefixes, which then meet the folders by
-    equality: rows grow by the depth of a path, never by the number of folders.
+    Up to FEW_FOLDERS folders travel as a set in the plan, and each path looks
+    up its own prefixes there without a shuffle.  With more, each path is spread
+    to its prefixes, which then meet the folders by equality: rows grow by the
+    depth of a path, never by the number of folders.
     """
     parts = F.split(F.col(path), "/")
     prefixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.when(n == 1, F.lit("/")).otherwise(F.array_join(F.slice(parts, F.lit(1), n), "/")))
     known = folders.select(F.col(folder).alias("__folder")).distinct()
+    few = [r[0] for r in known.where("__folder is not null").limit(FEW_FOLDERS + 1).collect()]
+    if len(few) <= FEW_FOLDERS:
+        held = F.filter(prefixes, lambda x: x.isin(*few))  # in order of depth
+        return items.drop(folder).withColumn(folder, F.try_element_at(held, F.lit(-1)) if few else F.lit(None).cast("string"))
     spread = items.select(path).distinct().withColumn("__folder", F.explode(F.array_distinct(prefixes)))
     deepest = spread.join(known, "__folder").groupBy(path).agg(F.max_by("__folder", F.length("__folder")).alias(folder))
     return items.drop(folder).join(deepest, path, "left")
@@ -98,8 +147,8 @@ def batches(df: DataFrame, order: list[Column], size: int) -> DataFrame:
 
 
 def sample(df: DataFrame, k: int, seed: int | None = None, id_: str = "media_id") -> DataFrame:
-    """k rows drawn evenly without replacement, in random order; a seed makes it repeatable whatever the partitions."""
+    """k rows drawn evenly without replacement, in random order; a seed makes it repeatable whatever the partitions and the engine."""
     if k <= 0:
         return df.limit(0)
-    draw = F.rand() if seed is None else F.xxhash64(F.col(id_), F.lit(seed))
+    draw = F.rand() if seed is None else F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col(id_).cast("string")), 256)
     return df.orderBy(draw, id_).limit(k)

@@ -7,14 +7,20 @@ counts as a changed size), ``events`` the change feed.
 
 from __future__ import annotations
 
+import hashlib
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .functions import encoders, paths, vectors
 from .operators import catalog, duplicates, search
-from .schemas import MEDIA_EXTENSIONS, SCHEMA_VERSION, THRESHOLDS
+from .plans import ingest
+from .schemas import MEDIA, MEDIA_EXTENSIONS, METADATA, SCHEMA_VERSION, THRESHOLDS, thresholds
+from .sources.shared import shared_folder
+from .sources.store import Change, Store
 from .streaming import changes
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,22 +31,33 @@ K = 50
 PAIR_THRESHOLD = 0.45
 
 
-def _query(sql: str | None):
+def _query(sql: str):
     def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
+        QUERIES[f.__name__], ORACLES[f.__name__] = f, sql
         return f
 
     return add
 
 
+_schemas: dict[str, T.StructType] = {}
+
+
 def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    """A table; its schema is looked up in the file once, not by a job for each query."""
+    path = f"{sf}/{name}.parquet"
+    if path not in _schemas:
+        _schemas[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_schemas[path]).parquet(path)
+
+
+def _vectors(spark: SparkSession, sf: str, *ids: int) -> list[list[float]]:
+    """The query vectors, by one small job."""
+    found = {r.vec_id: r.embedding for r in _t(spark, sf, "embeddings").where(F.col("vec_id").isin(*ids)).select("vec_id", "embedding").collect()}
+    return [found[i] for i in ids]
 
 
 def _vector(spark: SparkSession, sf: str, vec_id: int) -> list[float]:
-    return _t(spark, sf, "embeddings").where(F.col("vec_id") == vec_id).select("embedding").first().embedding
+    return _vectors(spark, sf, vec_id)[0]
 
 
 # Extensions of the virtual paths, by doc_id % 8.
@@ -104,12 +121,12 @@ LEGS_SQL = f"""legs AS (SELECT vec_id FROM ({_topk_sql()}) UNION SELECT vec_id F
 
 @_query(f"WITH {LEGS_SQL} SELECT vec_id, round((text_score + item_score) / 2, 6) AS score FROM scored WHERE (text_score + item_score) / 2 >= 0.1 ORDER BY (text_score + item_score) / 2 DESC, vec_id LIMIT {K}")
 def combined_topk(spark: SparkSession, sf: str) -> DataFrame:
-    return _ranked(search.search_combined(_t(spark, sf, "embeddings"), _vector(spark, sf, 0), _vector(spark, sf, 1), K, 0.1, "vec_id"))
+    return _ranked(search.search_combined(_t(spark, sf, "embeddings"), *_vectors(spark, sf, 0, 1), K, 0.1, "vec_id"))
 
 
 @_query(f"WITH {LEGS_SQL} SELECT vec_id, round(text_score, 6) AS text_score, round(item_score, 6) AS item_score FROM scored")
 def leg_union(spark: SparkSession, sf: str) -> DataFrame:
-    both = search.legs(_t(spark, sf, "embeddings"), _vector(spark, sf, 0), _vector(spark, sf, 1), K, "vec_id")
+    both = search.legs(_t(spark, sf, "embeddings"), *_vectors(spark, sf, 0, 1), K, "vec_id")
     return both.select("vec_id", F.round("text_score", 6).alias("text_score"), F.round("item_score", 6).alias("item_score"))
 
 
@@ -120,6 +137,32 @@ def score_trace_siglip(spark: SparkSession, sf: str) -> DataFrame:
     return trace.select("vec_id", *[F.round(c, 6).alias(c) for c in ("score", "logit", "sigmoid")], "passes")
 
 
+@_query(f"WITH t AS ({_topk_sql()}) SELECT vec_id, round(c, 6) AS score, printf('%.4f', c) AS shown, c >= 0.2 AS passes FROM t WHERE c >= 0.2 OR NOT EXISTS (SELECT 1 FROM t WHERE c >= 0.2)")
+def trace_item(spark: SparkSession, sf: str) -> DataFrame:
+    """An item search's scores: the rows that pass."""
+    found = search.item_trace(search.top_k(_t(spark, sf, "embeddings"), _vector(spark, sf, 0), K, "vec_id"), 0.2)
+    return found.select("vec_id", F.round("score", 6).alias("score"), search.shown(F.col("score")).alias("shown"), "passes")
+
+
+@_query(f"WITH {LEGS_SQL}, t AS (SELECT *, (text_score + item_score) / 2 AS c FROM scored) SELECT vec_id, round(c, 6) AS score, round(text_score, 6) AS text_score, round(item_score, 6) AS item_score, c >= 0.9 AS passes FROM t WHERE c >= 0.9 OR NOT EXISTS (SELECT 1 FROM t WHERE c >= 0.9)")
+def trace_combined(spark: SparkSession, sf: str) -> DataFrame:
+    """A combined search's scores: none passes, so all are given."""
+    found = search.combined_trace(search.legs(_t(spark, sf, "embeddings"), *_vectors(spark, sf, 0, 1), K, "vec_id"), 0.9)
+    return found.select("vec_id", *[F.round(c, 6).alias(c) for c in ("score", "text_score", "item_score")], "passes")
+
+
+def _on_disk() -> Column:
+    """Paths of which those with an even vec_id are on disk, wherever there is one."""
+    return F.when(F.col("vec_id") % 2 == 0, F.lit("/")).otherwise(F.concat(F.lit("/no/such/folder/"), F.col("vec_id").cast("string")))
+
+
+@_query(f"SELECT vec_id, round(c, 6) AS score FROM ({_topk_sql()}) WHERE c >= 0.1 AND vec_id % 2 = 0")
+def search_existing(spark: SparkSession, sf: str) -> DataFrame:
+    """Existence is looked up for the candidates alone, after the top-k."""
+    found = search.search_item(_t(spark, sf, "embeddings"), _vector(spark, sf, 0), K, 0.1, "vec_id").withColumn("path", _on_disk())
+    return _ranked(search.existing(found.select("vec_id", "score", "path")))
+
+
 @_query(f"SELECT vec_id, round({DOT_SQL.format(a='embedding', b='(SELECT embedding FROM embeddings WHERE vec_id = 0)')}, 9) AS dot FROM embeddings")
 def dot_scores(spark: SparkSession, sf: str) -> DataFrame:
     return _t(spark, sf, "embeddings").select("vec_id", F.round(vectors.dot(F.col("embedding"), search.literal(_vector(spark, sf, 0))), 9).alias("dot"))
@@ -172,6 +215,18 @@ def duplicates_gallery(spark: SparkSession, sf: str) -> DataFrame:
     return duplicates.gallery(_found_pairs(_t(spark, sf, "embeddings"), 0.4), 9).select("item", "side", F.round("sim", 6).alias("sim"))
 
 
+@_query(f"""WITH flat AS (SELECT l, r, sim, unnest([0, 1]) AS side, unnest([l, r]) AS item FROM ({_pairs_sql(0.4)}))
+  SELECT item, side::INT AS side, round(sim, 6) AS sim FROM flat WHERE item % 2 = 0 ORDER BY flat.sim DESC, l, r, side LIMIT 9""")
+def gallery_existing(spark: SparkSession, sf: str) -> DataFrame:
+    """Items that are gone leave the gallery before it is cut."""
+
+    def still(flat: DataFrame, item: str) -> DataFrame:
+        found = flat.withColumn("vec_id", F.col(item)).withColumn("path", _on_disk())
+        return search.existing(found).select(*flat.columns)
+
+    return duplicates.gallery(_found_pairs(_t(spark, sf, "embeddings"), 0.4), 9, still).select("item", "side", F.round("sim", 6).alias("sim"))
+
+
 @_query("SELECT sum(n * (n - 1) // 2)::BIGINT AS pairs, count(*) AS classes FROM (SELECT count(*) AS n FROM documents GROUP BY text)")
 def exact_duplicate_count(spark: SparkSession, sf: str) -> DataFrame:
     """Pairs of equal texts, counted by class and never listed."""
@@ -255,16 +310,28 @@ def _names(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(n,) for n in dict.fromkeys(_NAMES)], "name string")
 
 
-@_query(f"""SELECT name, CASE WHEN last LIKE '%siglip2%' THEN array_to_string(string_split(last, '-')[1:2], '-') WHEN last LIKE '%clip%' AND len(string_split(last, '-')) >= 3 THEN array_to_string(string_split(last, '-')[1:3], '-')
+@_query(f"""SELECT name, CASE WHEN last LIKE '%siglip2%' THEN array_to_string(string_split(last, '-')[1:2], '-') WHEN last LIKE '%clip%' THEN CASE WHEN len(string_split(last, '-')) >= 3 THEN array_to_string(string_split(last, '-')[1:3], '-') ELSE last END
   ELSE replace(replace(last, '-', '_'), '.', '_') END AS short_name, CASE WHEN lower(name) LIKE '%siglip%' THEN 'siglip' ELSE 'clip' END AS kind
   FROM (SELECT name, lower(string_split(name, '/')[-1]) AS last FROM (VALUES {", ".join(f"('{n}')" for n in dict.fromkeys(_NAMES))}) v(name))""")
 def model_identifier(spark: SparkSession, sf: str) -> DataFrame:
     return _names(spark).select("name", paths.short_model_name(F.col("name")).alias("short_name"), paths.model_kind(F.col("name")).alias("kind"))
 
 
-@_query(f"SELECT * FROM (VALUES {', '.join(f"('{n}', '{t.kind}', {t.text}::DOUBLE, {t.combined}::DOUBLE, {t.image}::DOUBLE)" for n, t in THRESHOLDS.items())}) v(name, kind, text, combined, image)")
+# The published limits, written out a second time.
+@_query("""SELECT name, kind, text::DOUBLE AS text, combined::DOUBLE AS combined, image::DOUBLE AS image FROM (VALUES
+  ('google/siglip2-so400m-patch16-512', 'siglip', -8.0, 0.50, 0.85),
+  ('apple/DFN5B-CLIP-ViT-H-14-378', 'clip', 3.5, 0.45, 0.70),
+  ('google/siglip2-giant-opt-patch16-384', 'siglip', -8.0, 0.50, 0.85),
+  ('facebook/metaclip-h14-fullcc2.5b', 'clip', 31.0, 0.45, 0.70),
+  ('laion/CLIP-ViT-H-14-laion2B-s32B-b79K', 'clip', 24.0, 0.45, 0.70),
+  ('openai/clip-vit-large-patch14', 'clip', 22.0, 0.45, 0.70),
+  ('x/siglip-of-my-own', 'siglip', -8.0, 0.45, 0.70),
+  ('x/clip-b', 'clip', 20.0, 0.45, 0.70)) v(name, kind, text, combined, image)""")
 def threshold_registry(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.createDataFrame([(n, t.kind, t.text, t.combined, t.image) for n, t in THRESHOLDS.items()], "name string, kind string, text double, combined double, image double")
+    """Limits by full model name, two fallbacks among them."""
+    names = ["google/siglip2-so400m-patch16-512", "apple/DFN5B-CLIP-ViT-H-14-378", "google/siglip2-giant-opt-patch16-384", "facebook/metaclip-h14-fullcc2.5b", "laion/CLIP-ViT-H-14-laion2B-s32B-b79K", "openai/clip-vit-large-patch14", "x/siglip-of-my-own", "x/clip-b"]
+    rows = [(n, t.kind, t.text, t.combined, t.image) for n in names for t in [thresholds(n)]]
+    return spark.createDataFrame(rows, "name string, kind string, text double, combined double, image double")
 
 
 @_query("SELECT doc_id, length(text) - length(replace(text, 'e', '')) AS letter_e, round(sqrt(" + " + ".join(f"(length(text) - length(replace(text, '{chr(97 + i)}', ''))) ** 2" for i in range(26)) + "), 6) AS norm FROM documents")
@@ -291,12 +358,12 @@ def stale_ids(spark: SparkSession, sf: str) -> DataFrame:
 
 @_query("SELECT doc_id FROM documents WHERE doc_id IN (SELECT vec_id FROM embeddings)")
 def present_vectors(spark: SparkSession, sf: str) -> DataFrame:
-    return _t(spark, sf, "documents").join(_t(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id")), "doc_id", "left_semi").select("doc_id")
+    return catalog.present(_t(spark, sf, "documents").select("doc_id"), _t(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id")), "doc_id")
 
 
 @_query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)")
 def missing_vectors(spark: SparkSession, sf: str) -> DataFrame:
-    return _t(spark, sf, "documents").join(_t(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id")), "doc_id", "left_anti").select("doc_id")
+    return catalog.missing(_t(spark, sf, "documents").select("doc_id"), _t(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id")), "doc_id")
 
 
 @_query(f"SELECT coalesce(d.doc_id, s.doc_id) AS doc_id, CASE WHEN s.doc_id IS NULL THEN 'new' WHEN d.doc_id IS NULL THEN 'stale' WHEN s.size <> d.n_chars THEN 'changed' ELSE 'same' END AS status FROM (SELECT * FROM documents WHERE lang <> 'es') d FULL JOIN ({_STORED_SQL}) s USING (doc_id)")
@@ -315,14 +382,60 @@ def folder_upsert_keep_added(spark: SparkSession, sf: str) -> DataFrame:
     """A repeated registration keeps the first time and takes the last value."""
     events = _t(spark, sf, "events")
     seconds = F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1e6)
-    return events.groupBy("user_id").agg(F.min(seconds).alias("added_at"), F.max_by("value", F.struct("ts", "event_id")).alias("value"))
+    rows = events.select("user_id", seconds.alias("added_at"), "value", "ts", "event_id")
+    return catalog.registered(rows, "user_id", "added_at", [F.col("ts"), F.col("event_id")]).select("user_id", "added_at", "value")
+
+
+def _store(spark: SparkSession, sf: str) -> Store:
+    """A store of its own in the shared folder, with the vectors of the table; the label is the folder."""
+    store = Store(spark, f"{shared_folder(spark)}/query-store-{uuid.uuid4().hex}", buckets=4)
+    held = _t(spark, sf, "embeddings")
+    folder = F.sha2(F.concat(F.lit("/f"), F.col("label")), 256)
+    record = {"media_id": F.col("vec_id").cast("string"), "folder_id": folder, "mtime": F.lit(0.0), "size": F.col("label").cast("long")}
+    fields = [record.get(f.name, F.lit("x")).cast(f.dataType).alias(f.name) for f in METADATA.fields]
+    vectors = held.select(F.col("vec_id").cast("string").alias("id"), F.lit("x").alias("document"), "embedding", F.struct(*fields).alias("metadata"))
+    media = vectors.select("metadata.*", F.lit(0.0).alias("updated_at")).select(*MEDIA.names)
+    folders = held.select("label").distinct().select(folder.alias("folder_id"), F.concat(F.lit("/f"), F.col("label")).alias("path"), F.concat(F.lit("/f"), F.col("label")).alias("path_key"), F.lit(0.0).alias("added_at"))
+    store.snapshot().commit(folders=folders, vectors=Change(vectors), media=Change(media))
+    return store
+
+
+_KEPT_SQL = "SELECT vec_id::VARCHAR AS id, label FROM embeddings WHERE label <> 3"
 
 
-@_query(f"SELECT doc_id FROM ({FILES_SQL}) WHERE source <> 'src3'")
+@_query(f"SELECT id, label::BIGINT AS size, 'media' AS side FROM ({_KEPT_SQL}) UNION ALL SELECT id, label::BIGINT, 'vectors' FROM ({_KEPT_SQL}) UNION ALL SELECT DISTINCT '/f' || label, 0::BIGINT, 'folders' FROM ({_KEPT_SQL})")
 def delete_folder_effect(spark: SparkSession, sf: str) -> DataFrame:
-    files = _files(spark, sf)
-    gone = files.where("source = 'src3'").select("doc_id")
-    return files.join(gone, "doc_id", "left_anti").select("doc_id")
+    """A folder leaves the store with its records and vectors."""
+    store = _store(spark, sf)
+    store.snapshot().delete_folder(hashlib.sha256(b"/f3").hexdigest())
+    at = store.snapshot()
+    rows = at.read("media").select(F.col("media_id").alias("id"), "size", F.lit("media").alias("side"))
+    rows = rows.union(at.read("vectors").select("id", "metadata.size", F.lit("vectors")))
+    return rows.union(at.read("folders").select("path", F.lit(0).cast("long"), F.lit("folders")))
+
+
+@_query("SELECT vec_id::VARCHAR AS id, CASE WHEN vec_id % 7 = 0 THEN 100 ELSE label END::BIGINT AS size FROM embeddings WHERE vec_id % 5 <> 0 OR vec_id % 7 = 0")
+def store_changes(spark: SparkSession, sf: str) -> DataFrame:
+    """One commit that deletes every fifth vector and then puts every seventh, changed."""
+    at = _store(spark, sf).snapshot()
+    held = at.read("vectors")
+    put = held.where("cast(id as long) % 7 = 0").withColumn("metadata", F.col("metadata").withField("size", F.lit(100).cast("long")))
+    at.commit(vectors=Change(put, held.where("cast(id as long) % 5 = 0").select("id")))
+    return at.store.snapshot().read("vectors").select("id", "metadata.size")
+
+
+@_query("SELECT vec_id::VARCHAR AS id, CASE WHEN vec_id % 7 = 0 THEN 100 ELSE label END::BIGINT AS size FROM embeddings")
+def store_upserted(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole table with rows replaced."""
+    at = _store(spark, sf).snapshot()
+    put = at.read("vectors").where("cast(id as long) % 7 = 0").withColumn("metadata", F.col("metadata").withField("size", F.lit(100).cast("long")))
+    return at.upserted("vectors", put).select("id", "metadata.size")
+
+
+@_query("SELECT vec_id::VARCHAR AS id FROM embeddings WHERE vec_id % 5 <> 0")
+def store_without(spark: SparkSession, sf: str) -> DataFrame:
+    at = _store(spark, sf).snapshot()
+    return at.without("vectors", at.read("vectors").where("cast(id as long) % 5 = 0").select("id")).select("id")
 
 
 @_query(f"WITH {FOLDERS_SQL}, files AS ({FILES_SQL}), old AS (SELECT doc_id, path, CASE WHEN lang = 'en' THEN sha256(path) ELSE doc_id::VARCHAR END AS id FROM files) SELECT doc_id, sha256(path) AS new_id FROM old WHERE id <> sha256(path) AND EXISTS (SELECT 1 FROM folders WHERE starts_with(path, folder || '/'))")
@@ -331,18 +444,18 @@ def legacy_rekey(spark: SparkSession, sf: str) -> DataFrame:
     right = paths.stable_id(F.col("path"))
     old = _files(spark, sf).withColumn("id", F.when(F.col("lang") == "en", right).otherwise(F.col("doc_id").cast("string")))
     owned = catalog.owners(old, _folders(spark, sf), "path", "folder").where("folder is not null")
-    return owned.where(F.col("id") != right).select("doc_id", right.alias("new_id"))
+    return ingest.misnamed(owned).select("doc_id", right.alias("new_id"))
 
 
 @_query("SELECT source, count(*) AS n, count(*) FILTER (WHERE lang = 'en') AS n_en FROM documents GROUP BY source")
 def folder_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return _t(spark, sf, "documents").groupBy("source").agg(F.count("*").alias("n"), F.count_if(F.col("lang") == "en").alias("n_en"))
+    return catalog.counts_by(_t(spark, sf, "documents"), "source", n_en=F.col("lang") == "en")
 
 
 @_query(f"SELECT path FROM ({FILES_SQL}) ORDER BY path LIMIT 10 OFFSET 100")
 def ordered_offset(spark: SparkSession, sf: str) -> DataFrame:
     """A page of an ordered listing."""
-    return _files(spark, sf).select("path").orderBy("path").offset(100).limit(10)
+    return catalog.page(_files(spark, sf).select("path"), ["path"], 10, 100)
 
 
 BATCH_SQL = f"SELECT doc_id, ((row_number() OVER (ORDER BY path) - 1) // 64)::BIGINT AS batch, size FROM ({FILES_SQL})"
@@ -365,7 +478,7 @@ def progress_totals(spark: SparkSession, sf: str) -> DataFrame:
 def folder_diff(spark: SparkSession, sf: str) -> DataFrame:
     """Folders after less folders before."""
     docs = _t(spark, sf, "documents")
-    return docs.select("source", "lang").subtract(docs.join(_t(spark, sf, "labels"), "doc_id", "left_semi").select("source", "lang"))
+    return catalog.added(docs.select("source", "lang"), catalog.present(docs, _t(spark, sf, "labels"), "doc_id").select("source", "lang"))
 
 
 @_query(f"SELECT doc_id, path FROM ({FILES_SQL}) WHERE source IN ('src1', 'src2') OR lang = 'fr'")
@@ -390,7 +503,7 @@ def event_progress(spark: SparkSession, sf: str) -> DataFrame:
     return out.select(F.unix_seconds("span.start").alias("began"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
-@_query(None)
+@_query(f"SELECT doc_id, path FROM ({FILES_SQL}) ORDER BY sha256('7:' || doc_id), doc_id LIMIT {K}")
 def random_sample(spark: SparkSession, sf: str) -> DataFrame:
     """An even draw without replacement."""
     return catalog.sample(_files(spark, sf), K, seed=7, id_="doc_id").select("doc_id", "path")

@@ -8,22 +8,24 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.catalog import latest_by
 from ..schemas import RECORD, VECTORS
-from ..sources.store import Store
+from ..sources.shared import written
+from ..sources.store import Change, Store
 
 
 def apply(store: Store, changes: DataFrame) -> int:
     """Applies rows of VECTORS with ``op`` (upsert or delete) and ``at`` (order of changes); the last of each id counts.
 
+    Only the buckets of these ids are rewritten.
+
     Applying a batch again changes nothing, so a batch that is replayed after a
     failure does no harm.
     """
-    last = latest_by(changes, ["id"], [F.col("at"), F.col("op")])
+    last = written(latest_by(changes, ["id"], [F.col("at"), F.col("op")]))
     put = last.where("op = 'upsert'")
     gone = last.where("op = 'delete'").select("id")
-    vectors = store.upserted("vectors", put.select(*VECTORS.names)).join(gone, "id", "left_anti")
-    records = put.select("metadata.*", F.col("at").cast("double").alias("updated_at")).select(*RECORD.names, "updated_at")
-    media = store.upserted("media", records).join(gone.select(F.col("id").alias("media_id")), "media_id", "left_anti")
-    return store.commit(vectors=vectors, media=media)
+    records = put.where("metadata is not null").select("metadata.*", F.col("at").cast("double").alias("updated_at"))
+    records = records.where("media_id is not null").select(*RECORD.names, "updated_at")
+    return store.snapshot().commit(vectors=Change(put.select(*VECTORS.names), gone), media=Change(records, gone))
 
 
 def follow(store: Store, stream: DataFrame, checkpoint: str, **trigger) -> StreamingQuery:
