@@ -91,6 +91,7 @@ def test_decontamination(spark, sf, docs, texts, block_chars):
 def test_decontamination_without_benchmark(spark, docs):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontam.decontaminate(docs, none).where("contaminated or n_hit > 0").count() == 0
+    assert decontam.decontaminate(docs.limit(0), none).count() == 0
 
 
 def test_fm_index_finds_every_occurrence():
@@ -117,8 +118,9 @@ def test_url_filter_equals_sql(spark, sf):
     assert got == want
 
 
-@pytest.mark.parametrize("max_words", [urls.MAX_WORDS, 0])
-def test_url_rules_and_list(spark, max_words):
+@pytest.mark.parametrize(("part_words", "max_parts"), [(urls.PART_WORDS, urls.MAX_PARTS), (16, 8), (1, 1)])
+def test_url_rules_and_list(spark, part_words, max_parts):
+    """In one part, in several, and in a filter of one word for the whole list."""
     cases = {
         "http://a.com/en/x": ("com/en/", "block"),
         "http://EXAMPLE.com/en/77": ("example.com/en/7", "allow"),
@@ -132,21 +134,26 @@ def test_url_rules_and_list(spark, max_words):
         "no scheme/es/": (None, "allow"),
         "": (None, "allow"),
     }
-    pages = spark.createDataFrame([(u, 1) for u in [*cases, None, "https://other.org/p"]], "url string, host int")
+    pages = spark.createDataFrame([(u, 1, "k", "m", "l") for u in [*cases, None, "https://other.org/p"]], "url string, host int, __key string, __maybe string, __listed string")
     listed = spark.createDataFrame([("http://listed.org/p",), ("http://listed.org/p/",), (None,)], "url string")
-    got = urls.filter_urls(pages, listed, URL_RULES, max_words=max_words).collect()
+    out = urls.filter_urls(pages, listed, URL_RULES, part_words=part_words, max_parts=max_parts)
+    assert out.columns == ["url", "__key", "__maybe", "__listed", "host", "path", "rule", "listed", "verdict"]
+    got = out.collect()
+    assert {(r["__key"], r["__maybe"], r["__listed"]) for r in got} == {("k", "m", "l")}
+    assert urls.filter_urls(pages.limit(0), listed, URL_RULES).count() == 0
     assert len(got) == len(cases) + 2
     assert {r.url: (r.rule, r.verdict) for r in got if r.url is not None} == cases
     assert next(r for r in got if r.url is None).host == ""
-    none = urls.filter_urls(pages, listed.limit(0), URL_RULES, max_words=max_words)
+    none = urls.filter_urls(pages, listed.limit(0), URL_RULES, part_words=part_words, max_parts=max_parts)
     assert none.where("listed").count() == 0
 
 
-def test_url_false_positives_are_removed(spark, monkeypatch):
+@pytest.mark.parametrize("part_words", [urls.PART_WORDS, 8])
+def test_url_false_positives_are_removed(spark, monkeypatch, part_words):
     monkeypatch.setattr(urls, "PROBES", 1)
     pages = spark.range(3000).select(F.concat(F.lit("http://h.org/"), F.col("id")).alias("url"))
     listed = spark.range(200).select(F.concat(F.lit("http://h.org/"), F.col("id") * 7).alias("url"))
-    got = urls.filter_urls(pages, listed, [])
+    got = urls.filter_urls(pages, listed, [], part_words=part_words)
     assert got.where("verdict = 'block'").count() == 200
     plan = got._jdf.queryExecution().toString()
     assert "Python" not in plan and "ArrowEval" not in plan and "Cartesian" not in plan
@@ -480,10 +487,11 @@ def kept_words(texts, width):
         yield len(w), len(gone), sha(" ".join(x for i, x in enumerate(w) if i not in gone))
 
 
-@pytest.mark.parametrize(("block", "ranges"), [(substrings.BLOCK_BYTES, substrings.RANGE_BYTES), (20_000, 7_000)])
-def test_substring_dedup(spark, tmp_path, monkeypatch, texts, block, ranges):
+@pytest.mark.parametrize(("block", "ranges", "coarse"), [(substrings.BLOCK_BYTES, substrings.RANGE_BYTES, substrings.COARSE), (20_000, 7_000, 4096), (20_000, 7_000, 3)])
+def test_substring_dedup(spark, tmp_path, monkeypatch, texts, block, ranges, coarse):
     monkeypatch.setattr(substrings, "BLOCK_BYTES", block)
     monkeypatch.setattr(substrings, "RANGE_BYTES", ranges)
+    monkeypatch.setattr(substrings, "COARSE", coarse)
     documents(spark, texts).write.parquet(f"{tmp_path}/d")
     docs = spark.read.parquet(f"{tmp_path}/d")
     got = {r.doc_id: r for r in substrings.dedup_substrings(docs, digest=True).collect()}
@@ -492,6 +500,15 @@ def test_substring_dedup(spark, tmp_path, monkeypatch, texts, block, ranges):
     assert sum(r.n_removed for r in got.values()) > 0
 
 
+def test_packed_rows_grow_with_the_data_not_with_its_square():
+    """Rows that leave blocks and groups at a size, per window; two levels bound both."""
+    for size in (10**12, 10**13, 10**14):
+        n_blocks, n_ranges = size // substrings.BLOCK_BYTES, size // substrings.RANGE_BYTES
+        groups = n_blocks * substrings.BLOCK_BYTES // (substrings.RANGE_BYTES * substrings.COARSE)
+        windows = size / 6
+        assert n_blocks * substrings.COARSE < windows / 100 and groups * n_ranges < windows / 100
+
+
 def test_substring_dedup_of_short_windows(spark):
     rng = random.Random(4)
     texts = [prose(rng, rng.randint(0, 30)) for _ in range(60)]

@@ -65,9 +65,10 @@ def test_transfer_matrices_combine_associatively(vocabulary):
     assert (left == right).all()
 
 
-def test_encoding_on_spark(spark, vocabulary, library, texts):
+@pytest.mark.parametrize("fan", [pieces.FAN, 2])
+def test_encoding_on_spark(spark, vocabulary, library, texts, fan):
     rows = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)] + [(0, texts[0], "x")], "doc_id long, text string, chunk string")
-    got = pieces.encode(rows.repartition(3), vocabulary, ["doc_id"], giant=150).collect()
+    got = pieces.encode(rows.repartition(3), vocabulary, ["doc_id"], giant=150, fan=fan).collect()
     assert len(got) == len(texts) + 1
     for r in got:
         text = texts[r.doc_id] or ""

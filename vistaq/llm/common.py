@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
@@ -57,13 +58,22 @@ def in_small_batches(df: DataFrame) -> DataFrame:
 
 
 def text_bytes(df: DataFrame) -> int:
-    """The optimizer's size estimate of a table, for choosing numbers of partitions; never for dropping rows."""
+    """The optimizer's size estimate of a table, for choosing numbers of partitions, never for dropping rows; measured where there is none."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return size if size < 1 << 56 else 1 << 30
+    if size < 1 << 56:
+        return size
+    return df.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+
+
+#: Schemas of the tables that were read, so that a table's footer is looked up once and not by a job each time.
+_schemas: dict[str, T.StructType] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _schemas:
+        _schemas[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_schemas[path]).parquet(path)
 
 
 def extended(schema: T.StructType, more: str) -> T.StructType:

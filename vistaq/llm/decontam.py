@@ -7,18 +7,22 @@ shortest window can't hold one and are left out of the index.  The shard's
 suffix array gives the Burrows-Wheeler transform; ranks come from a wavelet
 matrix; all windows are searched backward together; occurrences are located by
 walking to sampled suffix positions; their spans are merged by a difference
-array.  The benchmark is sent to the tasks in blocks of bounded size, one pass
-for each block.
+array.  Tasks pack the benchmark into blocks of bounded size.  Each block passes
+through the driver by itself into a broadcast of its own, and a task searches its
+shard for one block after the other, keeping a few of them unpacked: neither the
+driver's Python memory nor a task's nor the plan grows with the benchmark.
 
 Edge cases: null and empty texts have no words and no hits; items without words
 have no window; items of fewer words than ``width`` are one window; rows of
-one item_id are one item; repeated documents are judged one by one; an empty benchmark
-leaves every document clean.
+one item_id are one item, rows without an item_id are no item; repeated documents are judged one by one; an
+empty benchmark leaves every document clean; an empty table gives an empty
+result; columns named as those that are added are replaced.
 """
 
 from __future__ import annotations
 
 import hashlib
+import pickle
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -28,12 +32,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks
-from .common import extended, in_small_batches
+from .common import extended, in_small_batches, stored
 
 #: Words in a window.
 WIDTH = 13
-#: Characters of benchmark text sent to the tasks at once; a larger benchmark takes more passes.
-BLOCK_CHARS = 4_000_000
+#: Characters of benchmark text in a block, and blocks that a task keeps unpacked; the others it reads again for the next shard.
+BLOCK_CHARS, KEPT = 2_000_000, 4
 #: Every so many text positions of a shard keep their suffix position.
 SAMPLE = 8
 
@@ -68,8 +72,8 @@ class Patterns:
                 item.append(np.full(len(at), i))
         if not rows:
             z = np.zeros(0, np.int64)
-            return cls(keys, np.zeros((0, width), np.int64), z, z, z, items)
-        unique, owner = np.unique(np.concatenate(rows), axis=0, return_inverse=True)
+            return cls(keys, np.zeros((0, width), np.int32), z, z, z, items)
+        unique, owner = np.unique(np.concatenate(rows).astype(np.int32), axis=0, return_inverse=True)
         pairs = np.unique(np.stack([owner.ravel(), np.concatenate(item)], 1), axis=0)
         return cls(keys, unique, (unique > 0).sum(1), pairs[:, 0], pairs[:, 1], items)
 
@@ -158,15 +162,19 @@ class FMIndex:
         return (self.kept[self.place[at]] + walked) % len(self.text)
 
 
-def shard_hits(data: np.ndarray, off: np.ndarray, patterns: Patterns) -> tuple[blocks.Words, np.ndarray, np.ndarray, np.ndarray]:
-    """Words of the shard, which of them are hit, and the distinct (document row, item place) pairs."""
-    none = np.zeros(0, np.int64)
+def shard_words(data: np.ndarray, off: np.ndarray) -> tuple[blocks.Words, np.ndarray]:
+    """Words of the shard and their hashes."""
     data = blocks.FOLD[data]
     words = blocks.split(data, off, blocks.FOLDED_ALNUM)
+    return words, blocks.hash_spans(data, words.start, words.end)
+
+
+def shard_hits(words: blocks.Words, hashes: np.ndarray, patterns: Patterns) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which words of the shard are hit, and the distinct (document row, item place) pairs."""
+    none = np.zeros(0, np.int64)
     n = len(words.start)
     if not n or not len(patterns.rows):
-        return words, np.zeros(n, bool), none, none
-    hashes = blocks.hash_spans(data, words.start, words.end)
+        return np.zeros(n, bool), none, none
     slots = np.zeros(1 << 18, bool)
     slots[(patterns.keys & blocks.U(0x3FFFF)).astype(np.int64)] = True
     maybe = np.flatnonzero(slots[(hashes & blocks.U(0x3FFFF)).astype(np.int64)])
@@ -175,13 +183,13 @@ def shard_hits(data: np.ndarray, off: np.ndarray, patterns: Patterns) -> tuple[b
     known = maybe[same]
     number = at[same] + 1
     if not len(known):
-        return words, np.zeros(n, bool), none, none
+        return np.zeros(n, bool), none, none
     doc = words.docs()
     breaks = np.flatnonzero((np.diff(known) != 1) | (np.diff(doc[known]) != 0)) + 1
     run = np.diff(np.concatenate([[0], breaks, [len(known)]]))
     long_enough = np.repeat(run >= patterns.length.min(), run)
     if not long_enough.any():
-        return words, np.zeros(n, bool), none, none
+        return np.zeros(n, bool), none, none
     # each stretch is followed by a separator
     ends = np.zeros(len(known), bool)
     ends[np.concatenate([breaks, [len(known)]]) - 1] = True
@@ -195,7 +203,7 @@ def shard_hits(data: np.ndarray, off: np.ndarray, patterns: Patterns) -> tuple[b
     found = np.maximum(hi - lo, 0)
     total = int(found.sum())
     if not total:
-        return words, np.zeros(n, bool), none, none
+        return np.zeros(n, bool), none, none
     window = np.repeat(np.arange(len(found)), found)
     suffix = np.repeat(lo, found) + np.arange(total) - np.repeat(np.cumsum(found) - found, found)
     start = origin[index.locate(suffix)]
@@ -206,21 +214,39 @@ def shard_hits(data: np.ndarray, off: np.ndarray, patterns: Patterns) -> tuple[b
     many = np.searchsorted(patterns.owner, window_at, side="right") - first
     place = np.repeat(first, many) + np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
     pairs = np.unique(np.repeat(doc_at, many) * len(patterns.items) + patterns.item[place])
-    return words, hit, pairs // len(patterns.items), pairs % len(patterns.items)
+    return hit, pairs // len(patterns.items), pairs % len(patterns.items)
 
 
-def bench_blocks(benchmark: DataFrame, item: str, text: str, block_chars: int) -> Iterator[tuple[list, list]]:
-    """Items and texts of the benchmark, about ``block_chars`` characters at a time."""
-    bench = benchmark.select(F.col(item).alias("item"), F.col(text).cast("string").alias("text"))
+def packed_blocks(benchmark: DataFrame, item: str, text: str, width: int, block_chars: int) -> DataFrame:
+    """One row a block: its number and its Patterns, pickled by a task.  Equal rows count once and are no hot block."""
+    bench = stored(benchmark.where(F.col(item).isNotNull()).select(F.col(item).cast("string").alias("item"), F.col(text).cast("string").alias("text")).distinct())
     total = bench.agg(F.sum(F.length("text")).alias("n")).first().n or 0
-    count = -(-total // block_chars) or 1
-    for k in range(count):
-        part = bench if count == 1 else bench.where(F.pmod(F.xxhash64("item", "text"), F.lit(count)) == k)
-        found = part.collect()
-        yield [r.item for r in found], [r.text for r in found]
+    count = -(-total // block_chars)
+
+    def pack(key: tuple, group: pa.Table) -> pa.Table:
+        made = Patterns.of(group.column("item").to_pylist(), group.column("text").to_pylist(), width)
+        return pa.table({"block": pa.array([key[0].as_py()], pa.int64()), "packed": pa.array([pickle.dumps(made, protocol=5)], pa.binary())})
+
+    dealt = bench.where("text is not null").withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(max(count, 1))).cast("long"))
+    return stored(dealt.groupBy("block").applyInArrow(pack, "block long, packed binary"))
+
+
+class _Blocks:
+    """The blocks as a task sees them, a few kept unpacked; the others are read again from the worker's copy of their broadcast."""
+
+    def __init__(self, handles: list):
+        self.handles, self.kept = handles, {}
+
+    def __iter__(self) -> Iterator[Patterns]:
+        for n, handle in enumerate(self.handles):
+            made = self.kept.get(n)
+            if made is None:
+                made = pickle.loads(handle.load_from_path(handle._path))  # .value would keep every block
+                if len(self.kept) < KEPT:
+                    self.kept[n] = made
+            yield made
 
 
-HIDDEN = "__hit binary, __items array<string>"
 FIELDS = "n_words long, n_hit long, n_items long, items array<string>, items_sha256 string, spans array<struct<start:long,end:long>>, contaminated boolean"
 
 
@@ -232,37 +258,25 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
     """
     names = [x.split()[0] for x in FIELDS.split(", ")]
     docs = in_small_batches(docs).drop(*[x for x in names if x in docs.columns])
-    plain = docs.schema
-    parts = list(bench_blocks(benchmark, item, item_text, block_chars))
-    for k, (items, texts) in enumerate(parts):
-        last = k == len(parts) - 1
-        docs = docs.mapInArrow(_pass(Patterns.of(items, texts, width), text, k > 0, last, share), extended(plain, FIELDS if last else HIDDEN))
-    return docs
-
-
-def _pass(patterns: Patterns, text: str, follows: bool, last: bool, share: int):
-    """One block of the benchmark; hits so far travel in the hidden columns."""
+    context = docs.sparkSession.sparkContext
+    # one block at a time in the driver; what it has sent is no longer held by its Python process
+    handles = [context.broadcast(bytes(r.packed)) for r in packed_blocks(benchmark, item, item_text, width, block_chars).select("packed").toLocalIterator()]
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        every = _Blocks(handles)
         for batch in batches:
             for lo, hi, data, off in blocks.chunks(batch.column(text)):
-                part = batch.slice(lo, hi - lo)
-                words, hit, doc, place = shard_hits(data, off, patterns)
+                words, hashes = shard_words(data, off)
+                hit = np.zeros(len(words.start), bool)
                 names: list[list[str]] = [[] for _ in range(hi - lo)]
-                for d, p in zip(doc.tolist(), place.tolist(), strict=True):
-                    names[d].append(str(patterns.items[p]))
-                if follows:
-                    for d, (old, more) in enumerate(zip(part.column("__hit").to_pylist(), part.column("__items").to_pylist(), strict=True)):
-                        a, b = words.first[d], words.first[d + 1]
-                        hit[a:b] |= np.unpackbits(np.frombuffer(old, np.uint8), count=b - a).astype(bool)
-                        names[d] += more
-                    part = part.drop_columns(["__hit", "__items"])
-                yield blocks.appended(part, **(_final(words, hit, names, share) if last else {
-                    "__hit": pa.array([np.packbits(hit[a:b]).tobytes() for a, b in zip(words.first[:-1], words.first[1:], strict=True)], pa.binary()),
-                    "__items": pa.array(names, pa.list_(pa.string())),
-                }))
-
-    return rows
+                for patterns in every:
+                    own, doc, place = shard_hits(words, hashes, patterns)
+                    hit |= own
+                    for d, p in zip(doc.tolist(), place.tolist(), strict=True):
+                        names[d].append(patterns.items[p])
+                yield blocks.appended(batch.slice(lo, hi - lo), **_final(words, hit, names, share))
+
+    return docs.mapInArrow(rows, extended(docs.schema, FIELDS))
 
 
 def _final(words: blocks.Words, hit: np.ndarray, names: list[list[str]], share: int) -> dict[str, pa.Array]:

@@ -3,10 +3,12 @@
 A document up to ``GIANT`` characters is segmented in one task.  A giant one is
 cut into chunks.  A piece may straddle a cut, so the state at a cut is how many
 characters of the next chunk the last piece covers.  Each chunk yields its
-transfer matrix, the best score from each entry state to each exit state; the
-matrices are combined associatively (max of sums) in one small group a document;
-with its entry scores known, each chunk tells from which entry each exit is
-reached, the exits are fixed backward, and every chunk is backtraced on its own.
+transfer matrix, the best score from each entry state to each exit state.  The
+matrices are combined associatively (max of sums) up a tree, ``FAN`` neighbours at
+a time, and entry scores come down it to every chunk, so no task ever sees more
+than ``FAN`` matrices of a document.  With its entry scores known, each chunk tells from which entry each
+exit is reached; these maps are composed up and down the same tree, which fixes
+every exit, and every chunk is backtraced on its own.
 
 Edge cases: null and empty texts have no ids; unknown characters become bytes;
 U+2581 in a text is a space afterwards, as in the library, so such a text is the
@@ -16,8 +18,9 @@ empty table gives an empty result.
 
 from __future__ import annotations
 
+import functools
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import cached_property
 
 import numpy as np
@@ -25,12 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, extended, in_small_batches
+from .common import extended, in_small_batches, stored
 from .unigram import MARK, Vocabulary, decode, forward, normalise, segment_unit, trace, units
 
 #: Characters of a chunk; longer documents are giants.
 GIANT = 32_768
 NONE = np.iinfo(np.int64).min // 4
+#: Neighbours that are combined in one step of the tree.
+FAN = 16
 
 
 class Encoder:
@@ -147,14 +152,14 @@ def combine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum((a[..., :, None] + b).max(axis=-2), NONE)
 
 
-def entry_scores(matrices: list[np.ndarray]) -> list[np.ndarray]:
-    """Scores of the entry states of each chunk: the exclusive scan from state 0.
+def entry_scores(matrices: list[np.ndarray], row: np.ndarray | None = None) -> list[np.ndarray]:
+    """Scores of the entry states of each chunk: the exclusive scan from state 0, or from a row.
 
     Later chunks need only differences, so each row is brought down to a best
     score of 0, which keeps any length within 64 bits.
     """
-    row = np.full(len(matrices[0]), NONE, np.int64)
-    row[0] = 0
+    if row is None:
+        row = start_row(len(matrices[0]))
     out = []
     for matrix in matrices:
         out.append(row)
@@ -163,6 +168,21 @@ def entry_scores(matrices: list[np.ndarray]) -> list[np.ndarray]:
     return out
 
 
+def start_row(states: int) -> np.ndarray:
+    """A text is entered in state 0."""
+    row = np.full(states, NONE, np.int64)
+    row[0] = 0
+    return row
+
+
+def compose(maps: list[np.ndarray]) -> np.ndarray:
+    """The entry of the first chunk from which each exit of the last one is reached, -1 if none."""
+    out = maps[-1]
+    for before in reversed(maps[:-1]):
+        out = np.where(out >= 0, before[out], -1)
+    return out
+
+
 def encode_giant(text: str, encoder: Encoder, size: int) -> bytes:
     """All steps for one text in one place; the plan below deals the same steps to tasks."""
     chunks = [Chunk(*x, encoder) for x in cuts(normalise(text), size)]
@@ -171,19 +191,51 @@ def encode_giant(text: str, encoder: Encoder, size: int) -> bytes:
     return b"".join(c.ids(s, e) for c, s, e in zip(chunks, scores, exits, strict=True))
 
 
-def exit_states(entry_of_exit: list[list[int]]) -> list[int]:
-    """The exit state of each chunk on the best path, which ends in state 0."""
-    state, out = 0, []
+def exit_states(entry_of_exit: list, state: int = 0) -> list[int]:
+    """The exit state of each chunk on the best path, which ends in the given state."""
+    out = []
     for reached in reversed(entry_of_exit):
         out.append(state)
-        state = reached[state]
+        state = int(reached[state])
     return out[::-1]
 
 
+def through_tree(values: DataFrame, most: int, fan: int, fold: Callable[[list[bytes]], bytes], spread: Callable[[bytes, list[bytes]], list[bytes]], top: bytes) -> DataFrame:
+    """(row, chunk, given): what ``spread`` deals each chunk from ``top``.
+
+    ``values`` (row, chunk, out; at most ``most`` chunks a row) are folded,
+    ``fan`` neighbours at a time, until that many are left of a row; then what
+    a group is given is spread over its members, level by level down again.
+    """
+
+    def up(key: tuple, group: pa.Table) -> pa.Table:
+        ordered = group.sort_by("chunk").column("out").to_pylist()
+        return pa.table({"row": pa.array([key[0].as_py()], pa.int64()), "chunk": pa.array([key[1].as_py()], pa.int64()), "out": pa.array([fold(ordered)], pa.binary())})
+
+    def down(group: pa.Table) -> pa.Table:
+        group = group.sort_by("chunk")
+        dealt = spread(group.column("given")[0].as_py(), group.column("out").to_pylist())
+        return pa.table({"row": group.column("row"), "chunk": group.column("chunk"), "given": pa.array(dealt, pa.binary())})
+
+    above = F.floor(F.col("chunk") / fan).cast("long")
+    levels = [values]
+    while most > fan:
+        levels.append(stored(levels[-1].groupBy("row", above.alias("chunk")).applyInArrow(up, "row long, chunk long, out binary")))
+        most = -(-most // fan)
+    given = levels[-1].withColumn("given", F.lit(top)).groupBy("row").applyInArrow(down, GIVEN)
+    for level in reversed(levels[:-1]):
+        parents = given.select("row", F.col("chunk").alias("above"), "given")
+        given = level.withColumn("above", above).join(parents, ["row", "above"]).groupBy("row", "above").applyInArrow(down, GIVEN)
+    return given
+
+
+GIVEN = "row long, chunk long, given binary"
+
+
 def _encoders(vocabulary: Vocabulary):
     """A function over (body, behind) columns; one encoder for each task."""
 
-    def over(method: str, schema: pa.Schema, keep: list[str]):
+    def over(method: str, keep: list[str]):
         def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             encoder = Encoder(vocabulary)
             for batch in batches:
@@ -192,17 +244,17 @@ def _encoders(vocabulary: Vocabulary):
                 for body, behind, *more in zip(*cols, strict=True):
                     chunk = Chunk(body, behind, encoder)
                     args = [np.frombuffer(more[0], np.int64)] if more else []
-                    out.append(getattr(chunk, method)(*args, *more[1:]))
-                if method == "matrix":
-                    out = [m.tobytes() for m in out]
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(out, schema.field("out").type)], names=[*keep, "out"])
+                    out.append(getattr(chunk, method)(*args, *[int(np.frombuffer(x, np.int64)[0]) for x in more[1:]]))
+                if method != "ids":
+                    out = [np.asarray(x, np.int64).tobytes() for x in out]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(out, pa.binary())], names=[*keep, "out"])
 
         return rows
 
     return over
 
 
-def encode(docs: DataFrame, vocabulary: Vocabulary, keep: list[str], text: str = "text", giant: int = GIANT) -> DataFrame:
+def encode(docs: DataFrame, vocabulary: Vocabulary, keep: list[str], text: str = "text", giant: int = GIANT, fan: int = FAN) -> DataFrame:
     """The columns ``keep``, then ids (little-endian 32-bit numbers) and same: whether decoding gives the text again."""
     source = in_small_batches(docs).select(*dict.fromkeys([*keep, text]))
     shape = extended(source.select(*keep).schema, "ids binary, same boolean")
@@ -221,7 +273,6 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, keep: list[str], text: str =
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(ids, pa.binary()), pa.array(same)], names=[*keep, "ids", "same"])
 
     giants = source.where(F.length(F.col(text).cast("string")) > giant).withColumn("__row", F.monotonically_increasing_id())
-    others = [c for c in keep if c != text]
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -235,38 +286,44 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, keep: list[str], text: str =
                     )
 
     # row numbers are drawn once, in a written table
-    held = durable(giants)
+    held = stored(giants)
     chunks = held.select("__row", text).mapInArrow(cut, "row long, chunk long, body string, behind string").repartition("row", "chunk")
-    chunks = durable(chunks)
-    over, ids = _encoders(vocabulary), ["row", "chunk"]
-    matrices = chunks.mapInArrow(over("matrix", pa.schema([("out", pa.binary())]), ids), "row long, chunk long, out binary")
+    chunks = stored(chunks)
+    most = (chunks.agg(F.max("chunk")).first()[0] or 0) + 1
+    over, ids, side = _encoders(vocabulary), ["row", "chunk"], vocabulary.longest
 
-    def scan(key: tuple, group: pa.Table) -> pa.Table:
-        group = group.sort_by("chunk")
-        side = vocabulary.longest
-        scores = entry_scores([np.frombuffer(m, np.int64).reshape(side, side) for m in group.column("out").to_pylist()])
-        return pa.table({"row": group.column("row"), "chunk": group.column("chunk"), "scores": pa.array([s.tobytes() for s in scores], pa.binary())})
+    def matrices_of(values: list[bytes]) -> list[np.ndarray]:
+        return [np.frombuffer(x, np.int64).reshape(side, side) for x in values]
 
-    scores = durable(matrices.groupBy("row").applyInArrow(scan, "row long, chunk long, scores binary"))
-    known = chunks.join(scores, ids).select("row", "chunk", "body", "behind", "scores")
-    reached = known.mapInArrow(over("entry_of_exit", pa.schema([("out", pa.list_(pa.int64()))]), ids), "row long, chunk long, out array<long>")
+    def fold_matrices(values: list[bytes]) -> bytes:
+        return functools.reduce(combine, matrices_of(values)).tobytes()
 
-    def fix(key: tuple, group: pa.Table) -> pa.Table:
-        group = group.sort_by("chunk")
-        return pa.table({"row": group.column("row"), "chunk": group.column("chunk"), "exit": pa.array(exit_states(group.column("out").to_pylist()), pa.int64())})
+    def spread_scores(given: bytes, values: list[bytes]) -> list[bytes]:
+        return [x.tobytes() for x in entry_scores(matrices_of(values), np.frombuffer(given, np.int64))]
+
+    def fold_maps(values: list[bytes]) -> bytes:
+        return compose([np.frombuffer(x, np.int64) for x in values]).tobytes()
+
+    def spread_exits(given: bytes, values: list[bytes]) -> list[bytes]:
+        return [np.int64(x).tobytes() for x in exit_states([np.frombuffer(x, np.int64) for x in values], int(np.frombuffer(given, np.int64)[0]))]
 
-    exits = reached.groupBy("row").applyInArrow(fix, "row long, chunk long, exit long")
-    traced = known.join(exits, ids).select("row", "chunk", "body", "behind", "scores", "exit")
-    pieces = traced.mapInArrow(over("ids", pa.schema([("out", pa.binary())]), ids), "row long, chunk long, out binary")
-    whole_ids = pieces.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("chunk", "out"))).alias("parts")).select("row", F.expr("aggregate(parts, cast('' as binary), (a, p) -> concat(a, p.out))").alias("ids"))
-    joined = held.join(whole_ids, held["__row"] == whole_ids["row"]).select(*source.columns, "ids")
+    shape_out = "row long, chunk long, out binary"
+    matrices = stored(chunks.mapInArrow(over("matrix", ids), shape_out))
+    scores = stored(through_tree(matrices, most, fan, fold_matrices, spread_scores, start_row(side).tobytes()))
+    known = chunks.join(scores.withColumnRenamed("given", "scores"), ids).select("row", "chunk", "body", "behind", "scores")
+    reached = stored(known.mapInArrow(over("entry_of_exit", ids), shape_out))
+    exits = stored(through_tree(reached, most, fan, fold_maps, spread_exits, np.int64(0).tobytes()))
+    traced = known.join(exits.withColumnRenamed("given", "exit"), ids).select("row", "chunk", "body", "behind", "scores", "exit")
+    pieces = traced.mapInArrow(over("ids", ids), shape_out)
+    whole_ids = pieces.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("chunk", "out"))).alias("__parts")).select("row", F.transform("__parts", lambda x: x["out"]).alias("__parts"))
+    joined = held.join(whole_ids, held["__row"] == whole_ids["row"]).select(*source.columns, "__parts")
 
     def check(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            same = [decode(np.frombuffer(i.as_buffer(), np.int32).tolist(), vocabulary) == t.as_py() for i, t in zip(batch.column("ids"), batch.column(text), strict=True)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), batch.column("ids"), pa.array(same, pa.bool_())], names=[*keep, "ids", "same"])
+            found = [b"".join(x) for x in batch.column("__parts").to_pylist()]
+            same = [decode(np.frombuffer(i, np.int32).tolist(), vocabulary) == t.as_py() for i, t in zip(found, batch.column(text), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(found, pa.binary()), pa.array(same, pa.bool_())], names=[*keep, "ids", "same"])
 
-    del others
     return small.mapInArrow(whole, shape).union(joined.mapInArrow(check, shape))
 
 

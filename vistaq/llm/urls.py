@@ -4,14 +4,16 @@ Rules come first: (host, path prefix) pairs with a verdict, the longest fitting
 one wins.  For the other urls the verdict is that of the list: canonical forms
 of the listed urls fill a blocked Bloom filter (one 64-bit block a key, six bits
 in it), urls whose bits are all set are possible hits, and an exact join with
-the list removes the false positives.  The filter is a scalar subquery of at
-most ``MAX_WORDS`` words; a list too long for it leaves the join to do all the
-work, with the same result.
+the list removes the false positives.  The filter comes in parts of at most
+``PART_WORDS`` words, by range of the key's hash, each a scalar subquery, and grows with the list up
+to ``MAX_PARTS`` of them; a still longer list fills it more densely, so more urls are
+possible hits, with the same result.
 
 Edge cases: a null url, or one without ``://``, has an empty host and path, fits
 no rule and is on no list, so it is allowed; repeated rows are judged one by
 one; repeated or null entries of the list count once or not at all; an empty
-list blocks nothing.
+list blocks nothing; an empty table gives an empty result; columns named as those that are
+added are replaced, any others stay as they are.
 """
 
 from __future__ import annotations
@@ -21,8 +23,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: 64-bit blocks of the filter: 8 MB at most.
-MAX_WORDS = 1 << 20
+#: 64-bit blocks of a part of the filter (8 MB), and most parts (64 MB in all).
+PART_WORDS, MAX_PARTS = 1 << 20, 8
 #: Bits of the filter for each listed key.
 BITS_PER_KEY = 16
 PROBES = 6
@@ -80,6 +82,7 @@ def fitting_rule(name: Column, place: Column, rules: list[Rule]) -> Column:
 
 
 def _block_of(key: Column, words: int) -> Column:
+    """The block of a key in a whole filter of that many words, a power of two."""
     return F.pmod(F.xxhash64(key), F.lit(words)).cast("int")
 
 
@@ -93,36 +96,50 @@ def _bits_of(key: Column) -> Column:
     return out
 
 
-def bloom(keys: DataFrame, column: str, words: int) -> DataFrame:
-    """One row, one array of ``words`` longs: the blocks in order, made by partial bit_or in the tasks."""
-    filled = keys.select(_block_of(F.col(column), words).alias("block"), _bits_of(F.col(column)).alias("bits")).groupBy("block").agg(F.bit_or("bits").alias("bits"))
-    every = keys.sparkSession.range(words).select(F.col("id").cast("int").alias("block")).join(filled, "block", "left")
+def bloom(keys: DataFrame, column: str, words: int, part: int = 0, parts: int = 1) -> DataFrame:
+    """One row, one array of longs: a part of the filter's blocks in order, made by partial bit_or in the tasks."""
+    size = words // parts
+    filled = keys.select(_block_of(F.col(column), words).alias("block"), _bits_of(F.col(column)).alias("bits"))
+    filled = filled.where(F.col("block").between(part * size, (part + 1) * size - 1)).groupBy("block").agg(F.bit_or("bits").alias("bits"))
+    every = keys.sparkSession.range(part * size, (part + 1) * size).select(F.col("id").cast("int").alias("block")).join(filled, "block", "left")
     pairs = F.array_sort(F.collect_list(F.struct("block", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))))
     return every.agg(F.transform(pairs, lambda x: x["bits"]).alias("filter"))
 
 
-def filter_urls(pages: DataFrame, listed: DataFrame, rules: list[Rule], url: str = "url", listed_url: str = "url", max_words: int = MAX_WORDS) -> DataFrame:
+def possible(key: Column, keys: DataFrame, column: str, words: int, parts: int) -> Column:
+    """Whether the filter of ``keys`` has all bits of a key."""
+    block, bits = _block_of(key, words), _bits_of(key)
+    size = words // parts
+    word = F.lit(None).cast("long")
+    for part in range(parts):
+        own = F.element_at(bloom(keys, column, words, part, parts).scalar(), F.pmod(block, F.lit(size)) + 1)
+        word = own if parts == 1 else F.when(F.floor(block / size) == part, own).otherwise(word)
+    return word.bitwiseAND(bits) == bits
+
+
+def _free(name: str, taken: list[str]) -> str:
+    while name in taken:
+        name += "_"
+    return name
+
+
+def filter_urls(pages: DataFrame, listed: DataFrame, rules: list[Rule], url: str = "url", listed_url: str = "url", part_words: int = PART_WORDS, max_parts: int = MAX_PARTS) -> DataFrame:
     """All columns of ``pages`` followed by host, path, rule, listed and verdict (earlier ones of these names are replaced)."""
     names = ["host", "path", "rule", "listed", "verdict"]
     pages = pages.drop(*[x for x in names if x in pages.columns])
     own = pages.columns
-    keys = listed.select(canonical(F.col(listed_url)).alias("__listed")).where(F.col("__listed").isNotNull()).distinct()
-    count = keys.count()
-    words = 1 << max(6, (count * BITS_PER_KEY // 64).bit_length())
+    key, maybe, entry = (_free(x, own) for x in ("__key", "__maybe", "__listed"))
+    keys = listed.select(canonical(F.col(listed_url)).alias(entry)).where(F.col(entry).isNotNull()).distinct()
+    words = min(1 << max(6, (keys.count() * BITS_PER_KEY // 64).bit_length()), part_words * max_parts)
+    parts = max(1, words // part_words)
 
-    judged = pages.withColumns({"host": host(F.col(url)), "path": path(F.col(url)), "__key": canonical(F.col(url))})
+    judged = pages.withColumns({"host": host(F.col(url)), "path": path(F.col(url)), key: canonical(F.col(url))})
     judged = judged.withColumn("rule", fitting_rule(F.col("host"), F.col("path"), rules))
-    open_ = F.col("rule").isNull() & F.col("__key").isNotNull()
-    if words <= max_words:
-        bits = _bits_of(F.col("__key"))
-        block = F.element_at(bloom(keys, "__listed", words).scalar(), _block_of(F.col("__key"), words) + 1)
-        maybe = open_ & (block.bitwiseAND(bits) == bits)
-    else:
-        maybe = open_
-    judged = judged.withColumn("__maybe", F.coalesce(maybe, F.lit(False)))
+    open_ = F.col("rule").isNull() & F.col(key).isNotNull()
+    judged = judged.withColumn(maybe, F.coalesce(open_ & possible(F.col(key), keys, entry, words, parts), F.lit(False)))
     # possible hits alone meet the list; the rest never shuffles
-    hits = judged.where("__maybe").join(keys, F.col("__key") == F.col("__listed"), "left").withColumn("listed", F.col("__listed").isNotNull())
-    rest = judged.where("not __maybe").withColumn("listed", F.lit(False))
+    hits = judged.where(F.col(maybe)).join(keys, F.col(key) == F.col(entry), "left").withColumn("listed", F.col(entry).isNotNull())
+    rest = judged.where(~F.col(maybe)).withColumn("listed", F.lit(False))
     verdict = F.lit(None).cast("string")
     for rule in rules:
         verdict = F.when(F.col("rule") == rule.name, F.lit(rule.verdict)).otherwise(verdict)
