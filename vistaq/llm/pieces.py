@@ -220,7 +220,7 @@ def through_tree(values: DataFrame, most: int, fan: int, fold: Callable[[list[by
     above = F.floor(F.col("chunk") / fan).cast("long")
     levels = [values]
     while most > fan:
-        levels.append(stored(levels[-1].groupBy("row", above.alias("chunk")).applyInArrow(up, "row long, chunk long, out binary")))
+        levels.append(stored(levels[-1].withColumn("above", above).groupBy("row", "above").applyInArrow(up, "row long, chunk long, out binary")))
         most = -(-most // fan)
     given = levels[-1].withColumn("given", F.lit(top)).groupBy("row").applyInArrow(down, GIVEN)
     for level in reversed(levels[:-1]):
