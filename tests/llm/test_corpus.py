@@ -614,6 +614,7 @@ def near_copies(rng, groups=6, each=25):
 @pytest.mark.parametrize("tile", [neardup.TILE, 6])
 def test_near_dedup(spark, monkeypatch, texts, tile):
     monkeypatch.setattr(neardup, "TILE", tile)
+    monkeypatch.setattr(neardup, "CROSSED", 2 * tile)
     every = [*texts, *near_copies(random.Random(8))]
     got = {r.doc_id: r for r in neardup.link(documents(spark, every)).collect()}
     want = component_ids(every)
@@ -622,6 +623,62 @@ def test_near_dedup(spark, monkeypatch, texts, tile):
     assert len({c for _, c in want}) < len(every)
 
 
+def group_of_copies(n, similarity, seed=9, words=900):
+    """n texts, each a copy of one text with words replaced, so that any two have about the given similarity."""
+    rng = random.Random(seed)
+    first = [f"w{rng.randrange(10**6)}" for _ in range(words)]
+    # four shingles go with each replaced word, in either text
+    kept = 2 * similarity / (1 + similarity)
+    share = 1 - kept ** 0.125
+    out = []
+    for _ in range(n):
+        out.append(" ".join(f"x{rng.randrange(10**9)}" if rng.random() < share else w for w in first))
+    return out
+
+
+@pytest.mark.parametrize("similarity", [0.775, 0.82])
+def test_rows_of_a_group_grow_with_its_members(spark, monkeypatch, similarity):
+    """Near copies just below and just above the threshold: what pieces return is in proportion to the group."""
+    made = Counter()
+    for name in ("candidates", "verified"):
+        own = getattr(neardup, name)
+
+        def counted(*args, own=own, name=name):
+            out = neardup.stored(own(*args))
+            made[name] += out.count()
+            return out
+
+        monkeypatch.setattr(neardup, name, counted)
+    found = {}
+    for n in (100, 200, 400):
+        made.clear()
+        texts = group_of_copies(n, similarity)
+        got = {r.doc_id: r.component_id for r in neardup.link(documents(spark, texts)).collect()}
+        found[n] = made["candidates"] / n, made["verified"] / n
+        if n == 100:
+            assert got == dict(enumerate(c for _, c in component_ids(texts)))
+    # members by bands and tiles bound the first; links of stars the second
+    assert all(a <= 2 * neardup.BANDS and b <= len(neardup.PASSES) * 8 for a, b in found.values())
+    assert found[400][0] <= 2 * found[100][0] + 4 and found[400][1] <= 2 * found[100][1] + 1
+
+
+def test_recall_at_the_threshold(spark):
+    """Planted pairs of similarity 0.80 to 0.85, each pair alone: all that the exact rule links are linked."""
+    rng = random.Random(12)
+    texts = []
+    while len(texts) < 2000:
+        words = [f"p{len(texts)}w{i}" for i in range(rng.randint(60, 200))]
+        other = list(words)
+        for _ in range(rng.randint(1, max(1, len(words) // 35))):
+            other[rng.randrange(len(words))] = f"q{rng.randrange(10**9)}"
+        a, b = ({tuple(w[i : i + 4]) for i in range(len(w) - 3)} for w in (words, other))
+        share = len(a & b) / len(a | b)
+        if 0.8 <= share <= 0.85:
+            texts += [" ".join(words), " ".join(other)]
+    got = {r.doc_id: r.component_id for r in neardup.link(documents(spark, texts)).collect()}
+    assert sum(got[i] == got[i + 1] for i in range(0, len(texts), 2)) == len(texts) // 2
+
+
 def test_near_dedup_edges(spark):
     rows = [(5, "a b c d e", 1), (None, "a b c d e", 2), (3, "A b c d  e", 3), (3, "A b c d  e", 3), (9, None, 4), (8, "", 5)]
     got = neardup.link(spark.createDataFrame(rows, "doc_id long, text string, rep int")).collect()

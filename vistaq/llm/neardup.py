@@ -45,8 +45,9 @@ BANDS, ROWS = 32, 4
 SAMPLE, BITS = 1024, 2048
 #: Bands looked at up to the end of each pass.
 PASSES = (2, 8, BANDS)
-#: Members of a bucket that are compared in one piece, and the shingles they may have in all.
-TILE, TILE_SHINGLES = 128, 4_000_000
+#: Members of a bucket in a tile of the first passes, which spread a crowded bucket over tasks, and of the
+#: last, where members are copied to each tile they meet; and the shingles that a tile may have in all.
+TILE, CROSSED, TILE_SHINGLES = 96, 512, 4_000_000
 
 _HASHES = blocks.mix64(np.arange(1, BANDS * ROWS + 1, dtype=blocks.U) * blocks.U(0x9E3779B97F4A7C15))
 
@@ -311,20 +312,20 @@ def _salted(tiles: str, salt: str) -> Column:
     return F.pmod(F.xxhash64("rep", "bucket", F.lit(salt)), F.col(tiles))
 
 
-def _tiles(count: str, sizes: str) -> Column:
-    return F.greatest(F.ceil(F.col(count) / TILE), F.ceil(F.col(sizes) / TILE_SHINGLES)).cast("long")
+def _tiles(count: str, sizes: str, most: int) -> Column:
+    return F.greatest(F.ceil(F.col(count) / most), F.ceil(F.col(sizes) / TILE_SHINGLES)).cast("long")
 
 
 def diagonal(mixed: DataFrame) -> DataFrame:
     """The members of MEMBER, each in one tile of its bucket."""
-    tiled = mixed.withColumn("tiles", _tiles("members", "shingles"))
+    tiled = mixed.withColumn("tiles", _tiles("members", "shingles", TILE))
     return tiled.select("bucket", _salted("tiles", "tile").alias("tile_x"), F.lit(0).cast("long").alias("tile_y"), "rep", "comp", F.lit(True).alias("is_left"), F.lit(True).alias("is_right"))
 
 
 def crossed(mixed: DataFrame) -> DataFrame:
     """The members of MEMBER in every tile pair they are due in: those outside the bucket's first component meet all members."""
     outside = stored(mixed.where("comp <> main").groupBy("bucket").agg(F.count("*").alias("outsiders"), F.sum("n_shingles").alias("outside")))
-    tiled = mixed.join(outside, "bucket").withColumn("tiles_x", _tiles("outsiders", "outside")).withColumn("tiles_y", _tiles("members", "shingles"))
+    tiled = mixed.join(outside, "bucket").withColumn("tiles_x", _tiles("outsiders", "outside", CROSSED)).withColumn("tiles_y", _tiles("members", "shingles", CROSSED))
     tiled = tiled.withColumn("out", F.col("comp") != F.col("main")).withColumn("x", _salted("tiles_x", "left")).withColumn("y", _salted("tiles_y", "right"))
     places = F.expr(
         """CASE WHEN tiles_x = 1 AND tiles_y = 1 THEN array(struct(0L AS tile_x, 0L AS tile_y, out AS is_left, true AS is_right))
@@ -355,7 +356,7 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
         last = k == len(PASSES) - 1
         start = PASSES[k - 1] if k else 0
         # earlier passes have settled their buckets, but those of several tiles
-        due = held.where(F.col("band") < bands).where((F.col("band") >= start) | (_tiles("members", "shingles") > 1)) if last else held.where(F.col("band").between(start, bands - 1))
+        due = held.where(F.col("band") < bands).where((F.col("band") >= start) | (_tiles("members", "shingles", TILE) > 1)) if last else held.where(F.col("band").between(start, bands - 1))
         if labels is not None:
             due = due.join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
         else:
