@@ -1,6 +1,7 @@
 """Each operator against a plain restatement of its contract, and its edge cases."""
 
 import hashlib
+import math
 import random
 import re
 import time
@@ -540,6 +541,62 @@ def test_quality_rules(docs, texts):
         assert not (r.base_failed and r.kept)
 
 
+CLASSES = {"lower": "abcdefghijklmnopqrstuvwxyz", "upper": "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "digit": "0123456789", "blank": " \t\v\f\r", "newline": "\n", "period_comma": ".,", "quote_dash": "'\"-:;()?", "symbol": "#*$%&|<>!~^_=+@{}[]\\/`"}
+
+
+def class_of(byte):
+    if byte >= 0xC0:
+        return "above"
+    if byte >= 0x80:
+        return "continued"
+    return next((name for name, chars in CLASSES.items() if chr(byte) in chars), "control" if byte < 0x20 or byte == 0x7F else "other")
+
+
+def verdicts(rows):
+    """kept of (text, lang) rows by the rules as the docstring tells them, in plain Python."""
+    listed = {w for words in rules.COMMON_WORDS.values() for w in words}
+    own, sums = [], defaultdict(lambda: (Counter(), Counter()))
+    for text, lang in rows:
+        chars = Counter(class_of(b) for b in (text or "").encode())
+        words = Counter(w if w in listed else None for w in ALNUM.findall(fold(text)))
+        own.append((chars, words))
+        for total, part in zip(sums[lang if lang in rules.COMMON_WORDS else "other"], (chars, words)):
+            total.update(part)
+
+    def divergence(p, q):
+        a, b = sum(p.values()), sum(q.values())
+        if not a or not b:
+            return 0.0
+        out = 0.0
+        for k in {*p, *q}:
+            x, y = p[k] / a, q[k] / b
+            m = (x + y) / 2
+            out += (x * math.log2(x / m) if x else 0) / 2 + (y * math.log2(y / m) if y else 0) / 2
+        return max(out, 0.0)
+
+    limits = rules.Limits()
+    for (text, lang), (chars, words) in zip(rows, own):
+        n, word_chars, _, _, repeats = rule_counts(text)
+        failed = n < 50 or 100 * repeats > 50 * n
+        ref_chars, ref_words = sums[lang if lang in rules.COMMON_WORDS else "other"]
+        share = lambda c: Counter({True: sum(v for k, v in c.items() if k), False: c[None]})
+        many = divergence(share(words), share(ref_words))
+        far_words = math.sqrt(many + 0.1 * max(divergence(words, ref_words) - many, 0))
+        far_chars = math.sqrt(divergence(chars, ref_chars))
+        over = far_chars - limits.char_distance - limits.slack / math.sqrt(max(word_chars, 1)), far_words - limits.word_distance - limits.word_slack / math.sqrt(max(sum(words.values()), 1))
+        yield not failed and not (n >= 50 and word_chars >= 200 and max(over) > 0), min(map(abs, over))
+
+
+def test_quality_verdicts_equal_a_plain_restatement(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [(r.text, r.lang) for r in docs.collect()] + [(t, None) for t in EDGES]
+    frame = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, text string, lang string")
+    got = {r.doc_id: r.kept for r in rules.judge(frame).collect()}
+    want = list(verdicts(rows))
+    assert all(got[i] == kept for i, (kept, margin) in enumerate(want) if margin > 1e-9)
+    assert sum(not kept for kept, _ in want) > 50 and sum(margin <= 1e-9 for _, margin in want) < 5
+
+
 def test_quality_rules_by_label(spark):
     sf = "/root/testdata/sf0.01"
     found = queries()["op8_quality_rules"](spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("not base_failed").collect()

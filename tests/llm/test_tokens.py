@@ -1,15 +1,19 @@
 """Unigram counting, encoding and decoding against the library itself."""
 
+import itertools
 import random
+from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
 import pytest
 import sentencepiece
+import test_corpus
+from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2
 
 import corpus_pipeline
-from vistaq.llm import counts, pieces, unigram
+from vistaq.llm import counts, pieces, secrets, unigram
 from vistaq.llm.queries import VOCABULARY, queries
 
 
@@ -113,6 +117,57 @@ def test_pipeline_stages_keep_their_promises(spark, sf):
     assert all(r.n_chars == len(r.text) for r in masked.values())
 
 
+def brute_force(rows, bench, library):
+    """doc_id to ids of what the five stages leave, each restated in plain Python on what the one before kept."""
+    rows = [r for r, (kept, margin) in zip(rows, test_corpus.verdicts([(r.text, r.lang) for r in rows])) if kept]
+    rows.sort(key=lambda r: r.doc_id)
+    rows = [r for i, (r, (_, root)) in enumerate(zip(rows, test_corpus.component_ids([r.text for r in rows]))) if i == root]
+    rows = [r for r, (*_, bad) in zip(rows, test_corpus.contamination([r.text for r in rows], bench)) if not bad]
+    spans, owners = {}, defaultdict(set)
+    for r in rows:
+        own = secrets.base_spans(r.text)
+        more = secrets.candidate_spans(r.text, own)
+        spans[r.doc_id] = [(s, e, None) for s, e, *_ in own] + [(s, e, v) for s, e, _, v in more]
+        for *_, v in [*own, *more]:
+            owners[v].add(r.source)
+    out = {}
+    for r in rows:
+        gone = [False] * len(r.text)
+        for s, e, v in spans[r.doc_id]:
+            if v is None or len(owners[v]) < secrets.SHARED_OWNERS:
+                gone[s:e] = [True] * (e - s)
+        text = "".join(secrets.MASK if hidden else "".join(c for c, _ in run) for hidden, run in itertools.groupby(zip(r.text, gone), lambda x: x[1]))
+        out[r.doc_id] = library.encode(text)
+    return out
+
+
+@pytest.mark.parametrize("size", ["sf0.001", "sf0.01"])
+def test_pipeline_equals_brute_force(spark, library, size):
+    folder = f"/root/testdata/{size}"
+    rows = spark.read.parquet(f"{folder}/documents.parquet").collect()
+    bench = [tuple(r) for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()]
+    got = {r.doc_id: np.frombuffer(r.ids, np.int32).tolist() for r in corpus_pipeline.run(spark, folder).collect()}
+    assert got == brute_force(rows, bench, library)
+
+
+def test_stages_take_repeated_rows_clashing_names_and_long_texts(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = docs.limit(40).collect()
+    long = " ".join(r.text for r in rows) * 3
+    frame = spark.createDataFrame([*rows, *rows[:5], (9001, long, "en", "src1", len(long))], docs.schema)
+    for name in ("n_words", "kept", "base", "__hit", "__row", "component_id", "items", "chunk"):
+        frame = frame.withColumn(name, F.lit("own"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, frame, sf)
+        assert out.columns == frame.columns and {r.n_words for r in out.select("n_words").distinct().collect()} <= {"own"}
+        if name == "near_dedup":
+            found = Counter(r.doc_id for r in out.collect())
+            assert max(found.values()) == 1 and 9001 in found
+        if name == "secret_scan":
+            assert out.count() == frame.count()
+    assert corpus_pipeline.encoding(spark, frame, sf).where("round_trip").count() == frame.count()
+
+
 def test_pipeline_runs(spark, sf):
     out = corpus_pipeline.run(spark, sf).collect()
     assert out and all(r.round_trip for r in out)

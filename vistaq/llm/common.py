@@ -21,30 +21,25 @@ def shared_folder(spark: SparkSession) -> str:
     return folder or context._jsc.sc().getCheckpointDir().get()
 
 
-def _own_folder(spark: SparkSession) -> str:
+def own_folder(spark: SparkSession) -> str:
+    """Where this application writes inside the shared folder."""
     return f"{shared_folder(spark).rstrip('/')}/vistaq-{spark.sparkContext.applicationId}"
 
 
 def stored(df: DataFrame) -> DataFrame:
     """The rows, written once as Parquet to the shared folder: a lost executor costs no recomputation, columns are pruned and the size is known to joins."""
     spark = df.sparkSession
-    path = f"{_own_folder(spark)}/{uuid.uuid4().hex}"
+    path = f"{own_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def release(spark: SparkSession) -> None:
-    """Remove what ``stored`` has written in this application; results that were not read yet are lost."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
+    """Remove what this application has written to its own folder; results that were not read yet are lost."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(own_folder(spark))
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """The rows, written once to the shared checkpoint folder, so that a lost executor costs no recomputation."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 #: Bytes of a batch handed to a Python worker; texts of any length come in batches of about this size.
 BATCH_BYTES = 16 << 20
 

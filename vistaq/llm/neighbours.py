@@ -1,18 +1,19 @@
 """Quality classifier: similarity-weighted votes of nearest labelled neighbours.
 
-Terms are bigrams of character classes plus a few layout terms (a word equal to
-the one before, lines equal to an earlier one, words without a letter).  A
-bounded, hash-ordered sample of labelled documents gives term weights and the
+Terms are bigrams of character classes plus four layout terms: the rates of
+words equal to the one before, of words that came earlier in the text, of words
+without a letter and of words with two capitals or more.  A bounded, hash-ordered sample of labelled documents gives term weights and the
 latent directions (truncated SVD of the sample's term matrix); its vectors and
 labels, at most ``MAX_LABELLED`` x ``DIRECTIONS`` numbers, are sent to every
 task.  Every document is projected and compared with all of them in blocks of
-exact cosine products; the labels of the nearest are averaged with a power of
-their similarity as weight.
+exact cosine products in double precision; the labels of the nearest are averaged with a power of
+their similarity as weight.  A document of the sample is its own nearest
+neighbour, so only the scores of held-out documents say how good the model is.
 
 Edge cases: null and empty texts have no terms and get the labelled share of
-label 1; ties in similarity are broken by the order of the sample; repeated rows
-are scored each, alike unless noise moves a similarity over a rounding edge; without any labelled row every score is 0.5; null labels are
-left out; an empty table gives an empty result.
+label 1; ties in similarity (rounded to 2^-16) are broken by the order of the sample; repeated rows
+are scored each; without any labelled row every score is 0.5; null labels are
+left out; doc_id is an integer key; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ DIRECTIONS = 48
 NEIGHBOURS = 15
 POWER = 4
 CUT = 0.3
-#: Similarities are rounded to this fraction, above the noise of single precision.
+#: Similarities are rounded to this fraction, far above the noise of double precision.
 STEPS = 1 << 16
 #: Similarities held at once.
 BLOCK_CELLS = 2_000_000
@@ -103,7 +104,7 @@ class Model:
     labels: np.ndarray
 
     def project(self, counted: np.ndarray) -> np.ndarray:
-        latent = (counted * self.idf) @ self.directions
+        latent = (counted * self.idf).astype(np.float64) @ self.directions.astype(np.float64)
         return latent / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
 
     def score(self, counted: np.ndarray) -> np.ndarray:
@@ -129,14 +130,14 @@ class Model:
 def fit(counted: np.ndarray, labels: np.ndarray, k: int = DIRECTIONS) -> Model:
     """Term weights and latent directions of the sample, by the eigenvectors of its term products."""
     if not len(labels):
-        return Model(np.ones(TERMS, np.float32), np.zeros((TERMS, 1), np.float32), np.zeros((0, 1), np.float32), labels)
+        return Model(np.ones(TERMS, np.float32), np.zeros((TERMS, 1), np.float32), np.zeros((0, 1)), labels)
     idf = np.log((1 + len(counted)) / (1 + (counted > 0).sum(0))).astype(np.float32) + 0.5
     weighted = counted * idf
     used = np.flatnonzero(weighted.any(0))
     _, vectors = np.linalg.eigh((weighted[:, used].T @ weighted[:, used]).astype(np.float64))
     directions = np.zeros((TERMS, min(k, len(used))), np.float32)
     directions[used] = vectors[:, ::-1][:, : directions.shape[1]]
-    model = Model(idf, directions, np.zeros((0, 1), np.float32), labels.astype(np.float64))
+    model = Model(idf, directions, np.zeros((0, 1)), labels.astype(np.float64))
     model.vectors = model.project(counted)
     return model
 

@@ -68,7 +68,6 @@ CLASS_NAMES, _CLASS_OF = _char_classes()
 N_CLASSES = len(CLASS_NAMES)
 #: common words of any listed language, then "any other word"
 N_WORD_BINS = len(VOCABULARY) + 1
-#: words equal to the word before them; kept beside the histograms of a document
 BINS = N_CLASSES + N_WORD_BINS
 
 
