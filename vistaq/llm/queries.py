@@ -60,7 +60,8 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    return rules.judge(docs).drop("text", "lang")
+    distances = {c: F.round(c, 6) for c in ("char_distance", "word_distance")}
+    return rules.judge(docs).drop("text", "lang").withColumns(distances)
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
