@@ -263,7 +263,8 @@ def test_extraction_of_bare_text_and_rows(spark):
     assert extraction.extract(spark.createDataFrame([], "page_id long, html string"), ["page_id"]).count() == 0
     assert extraction.main_text("just &amp; text") == "just & text"
     pages = spark.createDataFrame([(1, "u", PAGE, "t"), (1, "u", PAGE, "t"), (2, None, None, None)], "page_id long, url string, html string, text string")
-    got = extraction.extract(pages.drop("text"), ["page_id", "url"]).collect()
+    assert extraction.extract(pages, pages.columns).columns == ["page_id", "url", "html", "text", "n_chars"]
+    got = extraction.extract(pages, ["page_id", "url", "text"]).collect()
     assert [r.n_chars for r in got] == [len(r.text) for r in got] and len(got) == 3 and got[2].text == ""
 
 

@@ -355,7 +355,8 @@ def main_text(html: str | None) -> str:
 
 
 def extract(pages: DataFrame, keep: list[str], html: str = "html") -> DataFrame:
-    """The columns ``keep``, then text and n_chars (code points)."""
+    """The columns ``keep`` (earlier ones named as those added are replaced), then text and n_chars (code points)."""
+    keep = [c for c in dict.fromkeys(keep) if c not in ("text", "n_chars")]
     source = in_small_batches(pages).select(*dict.fromkeys([*keep, html]))
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
