@@ -181,6 +181,35 @@ def test_classifier_edges(spark, docs, texts):
     assert neighbours.classify(docs.limit(0), labels).count() == 0
 
 
+def naive_terms(text):
+    """Damped rates of class bigrams and of the four layout terms, one word at a time."""
+    data = (text or "").encode()
+    kinds = [int(neighbours._CLASS[b]) for b in data]
+    out = Counter()
+    for a, b in zip(kinds, kinds[1:]):
+        out[a * neighbours._SIDE + b] += 1000 / len(data)
+    words = VISIBLE.findall(text or "")
+    first = neighbours._SIDE**2
+    for i, w in enumerate(words):
+        flags = i > 0 and words[i - 1] == w, w in words[:i], not any(c.isascii() and c.isalpha() or ord(c) > 127 for c in w), sum("A" <= c <= "Z" for c in w) >= 2
+        for k, flag in enumerate(flags):
+            out[first + k] += flag * 1000 / len(words)
+    return np.array([math.log1p(out[k]) * (neighbours.LAYOUT_WEIGHT if k >= first else 1) for k in range(neighbours.TERMS)])
+
+
+def test_terms_and_directions_equal_plain_ones(texts):
+    some = [t for t in texts if t and len(t) < 3000][:60] + ["AA b AA AA 12 b", "é", "1 2 3"]
+    data, off = neighbours.blocks.column_bytes(neighbours.pa.array(some, neighbours.pa.string()))
+    found = neighbours.terms(data, off)
+    assert np.allclose(found, [naive_terms(t) for t in some], atol=1e-4)
+    model = neighbours.fit(found, np.arange(len(some)) % 2, 12)
+    idf = np.log((1 + len(some)) / (1 + (found > 0).sum(0))) + 0.5
+    u, s, _ = np.linalg.svd(found.astype(float) * idf, full_matrices=False)
+    latent = (u * s)[:, :12]
+    latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
+    assert np.allclose(model.vectors @ model.vectors.T, latent @ latent.T, atol=1e-3)
+
+
 def test_blocked_products_equal_plain_ones(monkeypatch):
     rng = np.random.default_rng(1)
     counted = rng.random((90, neighbours.TERMS)).astype(np.float32)

@@ -110,12 +110,12 @@ class Model:
     def score(self, counted: np.ndarray) -> np.ndarray:
         if not len(self.labels):
             return np.full(len(counted), 0.5)
-        vectors, prior = self.project(counted), float(self.labels.mean())
+        prior = float(self.labels.mean())
         out = np.empty(len(counted))
         k = min(NEIGHBOURS, len(self.labels))
         step = max(1, BLOCK_CELLS // len(self.labels))
         for lo in range(0, len(counted), step):
-            near = vectors[lo : lo + step] @ self.vectors.T
+            near = self.project(counted[lo : lo + step]) @ self.vectors.T
             # one number for similarity, then sample order: no two are equal, so the nearest are the same in any block
             whole = np.rint(near * STEPS).astype(np.int64)
             key = np.arange(len(self.labels)) - whole * len(self.labels)
