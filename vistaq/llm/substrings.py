@@ -37,6 +37,8 @@ BLOCK_BYTES = 3_000_000
 RANGE_BYTES = 12_000_000
 #: Ranges up to which one level of counting does; with two, the coarse ranges.
 COARSE = 4096
+#: Most tasks that an exchange is dealt to on its own account.
+MAX_TASKS = 20_000
 
 
 def _edges(lo: int, hi: int, n: int) -> np.ndarray:
@@ -142,19 +144,25 @@ def _answer_blocks(coarse: int, fine: int):
     return rows
 
 
+def _dealt(df: DataFrame, key: str, groups: int) -> DataFrame:
+    """The rows dealt by key to as many tasks as there are groups, where the session has fewer: else a task would get more of them with more data."""
+    tasks = min(groups, MAX_TASKS)
+    return df.repartition(tasks, key) if tasks > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
 SENT, ANSWERED = "block long, range long, hashes binary", "block long, range long, shared binary"
 
 
 def counted(sent: DataFrame, n_blocks: int, n_ranges: int, coarse: int) -> DataFrame:
     """The answers (ANSWERED) for packed rows (SENT) of ``coarse`` ranges; on two levels if more ranges are due."""
     if n_ranges <= coarse:
-        return sent.groupBy("range").applyInArrow(_count, ANSWERED)
+        return _dealt(sent, "range", n_ranges).groupBy("range").applyInArrow(_count, ANSWERED)
     fine = -(-n_ranges // coarse)
     # a group's hashes of a coarse range are as many as a fine range's of all groups
     groups = max(1, n_blocks * BLOCK_BYTES // (RANGE_BYTES * coarse))
     grouped = sent.withColumn("group", F.pmod(F.xxhash64("block"), F.lit(groups))).groupBy("group", "range")
     merged = grouped.applyInArrow(_merge(coarse, fine), SENT)
-    shared = merged.groupBy("range").applyInArrow(_count, ANSWERED)
+    shared = _dealt(merged, "range", n_ranges).groupBy("range").applyInArrow(_count, ANSWERED)
     back = shared.withColumn("coarse", F.floor(F.col("range") / fine).cast("long")).groupBy("block", "coarse")
     return grouped.cogroup(back).applyInArrow(_answer_blocks(coarse, fine), ANSWERED)
 
@@ -206,8 +214,9 @@ def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text", w
     n_blocks, n_ranges = max(1, size // BLOCK_BYTES), max(1, size // RANGE_BYTES)
     first = min(n_ranges, COARSE)
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(n_blocks)))
-    by_block = dealt.groupBy("block")
+    tasks = -(-n_blocks // 8)  # some 24 MB of stored text each
+    by_block = _dealt(dealt, "block", tasks).groupBy("block")
     sent = by_block.applyInArrow(_send(width, first), SENT)
     shared = counted(sent, n_blocks, n_ranges, COARSE)
     schema = (DIGEST if digest else FIELDS).format(id=rows.schema["doc_id"].dataType.simpleString())
-    return by_block.cogroup(shared.groupBy("block")).applyInArrow(_cut(width, first, digest), schema)
+    return by_block.cogroup(_dealt(shared, "block", tasks).groupBy("block")).applyInArrow(_cut(width, first, digest), schema)
