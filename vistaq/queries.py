@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from .functions import encoders, paths, vectors
 from .operators import catalog, duplicates, search
 from .plans import ingest
-from .schemas import MEDIA, MEDIA_EXTENSIONS, METADATA, SCHEMA_VERSION, THRESHOLDS, thresholds
+from .schemas import MEDIA, MEDIA_EXTENSIONS, METADATA, SCHEMA_VERSION, THRESHOLDS, model_space, thresholds
 from .sources.shared import shared_folder
 from .sources.store import Change, Store
 from .streaming import changes
@@ -298,6 +298,27 @@ def folder_postfilter(spark: SparkSession, sf: str) -> DataFrame:
     return _files(spark, sf).where(paths.is_under(F.col("path"), F.lit("/corpus/src1"))).select("doc_id", "path")
 
 
+@_query("SELECT page_id, lower(replace(url, '/', '\\')) AS path_key FROM pages")
+def folded_path_keys(spark: SparkSession, sf: str) -> DataFrame:
+    """Keys where paths differ in case and slashes alone."""
+    raw = F.replace(F.col("url"), F.lit("/en/"), F.lit("\\EN\\"))
+    return _t(spark, sf, "pages").select("page_id", paths.key(raw, fold_case=True).alias("path_key"))
+
+
+@_query(f"""SELECT doc_id, CASE WHEN lang = 'fr' THEN 'document' ELSE path END AS path,
+  CASE WHEN lang = 'fr' THEN 'document' WHEN lang = 'de' THEN CASE WHEN doc_id % 2 = 0 THEN 'kept caption' ELSE string_split(path, '/')[-1] END ELSE substr(path, length('/corpus/') + 1) END AS caption
+  FROM ({FILES_SQL})""")
+def result_captions(spark: SparkSession, sf: str) -> DataFrame:
+    """Path and caption of a result: from metadata with a folder, with a caption alone, with neither, and from the document."""
+    files = _files(spark, sf)
+    folder = F.when(F.col("lang") != "de", F.concat(F.lit("/corpus/"), F.col("source")))
+    own = F.when(F.col("lang") != "fr", F.col("path")).otherwise(F.lit(""))
+    caption = F.when((F.col("lang") == "de") & (F.col("doc_id") % 2 == 0), F.lit("kept caption"))
+    with_metadata = files.select("doc_id", F.struct(own.alias("path"), folder.alias("folder_path"), caption.alias("relative_path")).alias("metadata"))
+    path, shown = paths.path_and_caption("metadata", F.lit("document"))
+    return with_metadata.select("doc_id", path.alias("path"), shown.alias("caption"))
+
+
 @_query("SELECT page_id, line FROM (SELECT page_id, trim(unnest(string_split(url, chr(10)))) AS line FROM pages) WHERE line <> '' AND contains(line, '/')")
 def parse_folder_list(spark: SparkSession, sf: str) -> DataFrame:
     return _t(spark, sf, "pages").select("page_id", F.explode(paths.listed_folders(F.col("url"))).alias("line"))
@@ -334,6 +355,20 @@ def threshold_registry(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame(rows, "name string, kind string, text double, combined double, image double")
 
 
+@_query("SELECT name, short_name || '-' || substr(sha256(name), 1, 8) AS space FROM (VALUES ('google/siglip2-so400m-patch16-512', 'siglip2-so400m'), ('openai/clip-vit-large-patch14', 'clip-vit-large'), ('x/clip-b', 'clip-b'), ('hub/ViT-B.32', 'vit_b_32')) v(name, short_name)")
+def model_spaces(spark: SparkSession, sf: str) -> DataFrame:
+    names = ["google/siglip2-so400m-patch16-512", "openai/clip-vit-large-patch14", "x/clip-b", "hub/ViT-B.32"]
+    return spark.createDataFrame([(n, model_space(n)) for n in names], "name string, space string")
+
+
+@_query("SELECT conv_id, turn, 26 AS width, length(text) - length(replace(text, 'e', '')) > 0 AS has_e, sum_of > 0 AS has_letters FROM (SELECT *, length(regexp_replace(text, '[^a-z]', '', 'g')) AS sum_of FROM conversations)")
+def encode_queries(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts as the engine encodes queries: vectors of one width, of length one where there is a letter."""
+    made = encoders.encode_texts(_t(spark, sf, "conversations").select("conv_id", "turn", "text"), "text", encoders.LetterEncoder())
+    norm = F.sqrt(vectors.dot(F.col("embedding"), F.col("embedding")))
+    return made.select("conv_id", "turn", F.size("embedding").alias("width"), (F.element_at("embedding", 5) > 0).alias("has_e"), (F.abs(norm - 1) < 1e-5).alias("has_letters"))
+
+
 @_query("SELECT doc_id, length(text) - length(replace(text, 'e', '')) AS letter_e, round(sqrt(" + " + ".join(f"(length(text) - length(replace(text, '{chr(97 + i)}', ''))) ** 2" for i in range(26)) + "), 6) AS norm FROM documents")
 def encode_text(spark: SparkSession, sf: str) -> DataFrame:
     counted = encoders.count_letters(_t(spark, sf, "documents").select("doc_id", "text"), "text")
@@ -432,6 +467,42 @@ def store_upserted(spark: SparkSession, sf: str) -> DataFrame:
     return at.upserted("vectors", put).select("id", "metadata.size")
 
 
+@_query("""SELECT 'media' AS what, vec_id::VARCHAR AS key, label::VARCHAR AS value FROM embeddings WHERE label = 4
+  UNION ALL SELECT 'media_by', vec_id::VARCHAR, label::VARCHAR FROM embeddings WHERE vec_id IN (SELECT doc_id FROM labels)
+  UNION ALL SELECT 'vectors', vec_id::VARCHAR, len(embedding)::VARCHAR FROM embeddings WHERE vec_id IN (SELECT doc_id FROM labels)
+  UNION ALL SELECT DISTINCT 'folders', '/f' || label, sha256('/f' || label) FROM embeddings
+  UNION ALL SELECT 'folder_id', '/f2', sha256('/f2')
+  UNION ALL SELECT 'count_media', '/f4', count(*)::VARCHAR FROM embeddings WHERE label = 4
+  UNION ALL SELECT 'count_media', 'all', count(*)::VARCHAR FROM embeddings
+  UNION ALL SELECT 'count_vectors', 'all', count(*)::VARCHAR FROM embeddings
+  UNION ALL SELECT 'schema_version', 'now', '1'""")
+def store_reads(spark: SparkSession, sf: str) -> DataFrame:
+    """What a snapshot can be asked."""
+    store = _store(spark, sf)
+    store.snapshot().commit(meta=store.snapshot().marked_current())
+    at = store.snapshot()
+    fourth = hashlib.sha256(b"/f4").hexdigest()
+    wanted = _t(spark, sf, "labels").select(F.col("doc_id").cast("string").alias("media_id"))
+    rows = at.media(fourth).select(F.lit("media").alias("what"), F.col("media_id").alias("key"), F.col("size").cast("string").alias("value"))
+    rows = rows.union(at.media_by("media_id", wanted).select(F.lit("media_by"), "media_id", F.col("size").cast("string")))
+    rows = rows.union(at.vectors(wanted).select(F.lit("vectors"), "id", F.size("embedding").cast("string")))
+    rows = rows.union(at.folders().select(F.lit("folders"), "path", "folder_id"))
+    single = [("folder_id", "/f2", at.folder_id("/f2")), ("count_media", "/f4", str(at.count_media(fourth))), ("count_media", "all", str(at.count_media())), ("count_vectors", "all", str(at.count_vectors())), ("schema_version", "now", at.schema_version())]
+    return rows.union(spark.createDataFrame(single, "what string, key string, value string"))
+
+
+@_query("""SELECT '/f' || label AS path, min(CASE WHEN label % 2 = 0 THEN 0.0 ELSE 9.0 END)::DOUBLE AS added_at FROM embeddings GROUP BY label
+  UNION ALL SELECT '/new', 9.0""")
+def folders_registered(spark: SparkSession, sf: str) -> DataFrame:
+    """A folder that is registered again keeps its time; one that was deleted before is new."""
+    store = _store(spark, sf)
+    at = store.snapshot()
+    odd = at.read("folders").where("cast(substr(path, 3) as int) % 2 = 1")
+    at.commit(folders=at.read("folders").join(odd.select("path"), "path", "left_anti").select(*at.read("folders").columns))
+    again = at.read("folders").select("folder_id", "path", "path_key").union(spark.createDataFrame([("n", "/new", "/new")], "folder_id string, path string, path_key string"))
+    return store.snapshot().folders_with(again, 9.0).select("path", "added_at")
+
+
 @_query("SELECT vec_id::VARCHAR AS id FROM embeddings WHERE vec_id % 5 <> 0")
 def store_without(spark: SparkSession, sf: str) -> DataFrame:
     at = _store(spark, sf).snapshot()
