@@ -34,6 +34,11 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sent_if_small(df: DataFrame, rows: int) -> DataFrame:
+    """The rows of a written table, to be sent to every task if they are counted to be at most ``rows``; else Spark joins as it does."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def release(spark: SparkSession) -> None:
     """Remove what this application has written to its own folder; results that were not read yet are lost."""
     path = spark._jvm.org.apache.hadoop.fs.Path(own_folder(spark))

@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks
-from .common import as_text, stored
+from .common import as_text, sent_if_small, stored
 
 SHINGLE = 4
 THRESHOLD = (80, 100)
@@ -47,7 +47,10 @@ SAMPLE, BITS = 1024, 2048
 PASSES = (2, 8, BANDS)
 #: Members of a bucket in a tile of the first passes, which spread a crowded bucket over tasks, and of the
 #: last, where members are copied to each tile they meet; and the shingles that a tile may have in all.
-TILE, CROSSED, TILE_SHINGLES = 96, 512, 4_000_000
+TILE, CROSSED, TILE_SHINGLES = 64, 512, 4_000_000
+
+#: Rows up to which ids (8 bytes) and members of pieces (some 50) are sent to the texts and sets, instead of dealing these anew.
+SENT_IDS, SENT_MEMBERS = 1_000_000, 200_000
 
 _HASHES = blocks.mix64(np.arange(1, BANDS * ROWS + 1, dtype=blocks.U) * blocks.U(0x9E3779B97F4A7C15))
 
@@ -347,7 +350,7 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
     full = stored(spread.groupBy("bucket").agg(F.count("*").alias("members"), F.sum("n_shingles").alias("shingles")).where("members > 1"))
     held = stored(spread.join(full, "bucket"))
     needed = stored(held.select(F.col("rep").alias("doc_id")).distinct())
-    made = full_sets(rows.join(needed, "doc_id", "left_semi").select("doc_id", "text"), width)
+    made = full_sets(rows.join(sent_if_small(needed, SENT_IDS), "doc_id", "left_semi").select("doc_id", "text"), width)
     # a doc_id that stands twice has one set here
     known = stored(made.groupBy("rep").agg(F.max(F.struct("hashes", "n_shingles", "sketch")).alias("set")).select("rep", "set.*"))
 
@@ -365,7 +368,7 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
         mixed = due.join(split, "bucket")
         dealt = crossed(stored(mixed)) if last else diagonal(mixed)
         found = stored(candidates(dealt.join(known.select("rep", "n_shingles", "sketch"), "rep"), threshold[0] / threshold[1]))
-        links = stored(verified(found.join(known, "rep"), threshold))
+        links = stored(verified(known.join(sent_if_small(found, SENT_MEMBERS), "rep"), threshold))
         if not links.limit(1).count():
             continue
         # links stand between components; their components relabel the classes
